@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import decontaminate, line_dedup, mixing, secrets
 
-QUERIES = {"op9_line_dedup": line_dedup.op9_line_dedup}
-ORACLE_SQL = {"op9_line_dedup": line_dedup.SQL9}
+QUERIES = {
+    "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_secrets": secrets.op6_secrets,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_mixing": mixing.op10_mixing,
+}
+ORACLE_SQL = {"op5_decontaminate": decontaminate.SQL5, "op6_secrets": secrets.SQL6, "op9_line_dedup": line_dedup.SQL9, "op10_mixing": mixing.SQL10}
