@@ -22,9 +22,8 @@ SEED_ROWS = 2_000_000
 
 
 def _words(text):
-    """Words in lower case (A-Z), white space removed."""
-    low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.filter(F.split(low, "[\\x20\\x09-\\x0D]+", -1), lambda w: w != "")
+    """Words in lower case, white space removed."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[\\x20\\x09-\\x0D]+", -1), lambda w: w != "")
 
 
 def _seeds(hashes, size, mask: str, number: int):
@@ -41,9 +40,10 @@ def _runs(n: int):
 
 
 def _all_seeds(df: DataFrame, masks: tuple[str, ...]) -> DataFrame:
-    hashed = df.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    size = F.size("words")
-    return hashed.withColumn("seeds", F.concat(*[_seeds(F.col("hashes"), size, m, k) for k, m in enumerate(masks)]))
+    # the outer transform binds the hashes to a variable: a plain column would be inlined and hashed anew at every position
+    hashes = F.array(F.transform("words", lambda w: F.xxhash64(w)))
+    seeds = F.transform(hashes, lambda h: F.concat(*[_seeds(h, F.size(h), m, k) for k, m in enumerate(masks)]))
+    return df.withColumn("seeds", F.element_at(seeds, 1))
 
 
 def seed_masks(masks: tuple[str, ...]) -> tuple[str, ...]:
@@ -69,7 +69,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
     short = items.where((F.size("words") < least) & (F.size("words") > 0))
     test = saved(spark, own, "decon-seeds")
     known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), _words(F.col(text_col)).alias("words"))
-    seeded = _all_seeds(known, masks).select("doc_id", "words", F.explode("seeds").alias("s")).select("doc_id", "words", F.col("s.at").alias("at"), "s.seed")
+    # outer: an inner explode would be given a filter that computes all seeds a second time
+    seeded = _all_seeds(known, masks).select("doc_id", "words", F.explode_outer("seeds").alias("s")).select("doc_id", "words", F.col("s.at").alias("at"), "s.seed")
 
     def verified(pairs: DataFrame) -> DataFrame:
         first = F.greatest(F.col("start"), F.lit(0))
@@ -93,7 +94,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
         sizes = [r[0] for r in short.select(F.size("words").alias("n")).distinct().collect()]  # fewer than the masks are wide
         whole = short.select("item_id", F.col("words").alias("item"), F.xxhash64(F.array_join("words", " ")).alias("seed"))
         runs = F.concat(*[_runs(n) for n in sizes])
-        at = known.select("doc_id", "words", F.explode(runs).alias("s")).select("doc_id", "words", F.col("s.at").alias("start"), "s.seed").join(whole, "seed")
+        at = known.select("doc_id", "words", F.explode_outer(runs).alias("s")).select("doc_id", "words", F.col("s.at").alias("start"), "s.seed").join(whole, "seed")
         found = found.unionByName(verified(at))
     return found
 
@@ -117,17 +118,22 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    seeds = lambda t, key: " UNION ALL ".join(f"SELECT {key}, words, unnest(range(len(words) - {len(m) - 1})) AS p, {k} AS mask FROM {t} WHERE len(words) >= {len(m)}" for k, m in enumerate(MASKS))
-    spaced = "CASE mask " + " ".join(f"WHEN {k} THEN concat_ws(' ', " + ", ".join(f"words[p + {j + 1}]" for j, c in enumerate(m) if c == "1") + ")" for k, m in enumerate(MASKS)) + " END"
-    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    split = rf"list_filter(string_split_regex({low}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words"
+    low = "lower(coalesce(text, ''))"
+
+    def seeds(name: str, key: str) -> str:
+        split = rf"list_filter(string_split_regex({low}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+        out = f"{name}_w AS (SELECT {key}, unnest(w) AS word, unnest(range(len(w))) AS p FROM (SELECT {key}, {split} AS w FROM {name})), "
+        rows = []
+        for k, m in enumerate(MASKS):
+            under = ", ".join(f"lead(word, {j}) OVER o" if j else "word" for j, c in enumerate(m) if c == "1")
+            rows.append(f"SELECT * FROM (SELECT {key}, p, {k} AS mask, CASE WHEN lead(word, {len(m) - 1}) OVER o IS NOT NULL THEN concat_ws(' ', {under}) END AS seed FROM {name}_w WINDOW o AS (PARTITION BY {key} ORDER BY p)) WHERE seed IS NOT NULL")
+        return out + f"{name}_s AS ({' UNION ALL '.join(rows)})"
+
     return f"""
-WITH d AS (SELECT doc_id, {split} FROM documents), b AS (SELECT item_id, {split} FROM benchmark),
-ds AS (SELECT doc_id, p, mask, {spaced} AS seed FROM ({seeds('d', 'doc_id')})), bs AS (SELECT item_id, p, mask, {spaced} AS seed FROM ({seeds('b', 'item_id')})),
-h AS (SELECT DISTINCT doc_id, item_id, ds.p - bs.p AS p FROM ds JOIN bs USING (mask, seed)),
-w AS (SELECT b.item_id, unnest(b.words) AS word, unnest(range(len(b.words))) AS i FROM b),
-v AS (SELECT h.doc_id, h.item_id, h.p, count(*) AS n_item, count(*) FILTER (WHERE h.p + w.i >= 0 AND d.words[h.p + w.i + 1] = w.word) AS n_same
-      FROM h JOIN w USING (item_id) JOIN d USING (doc_id) GROUP BY ALL)
+WITH {seeds('documents', 'doc_id')}, {seeds('benchmark', 'item_id')},
+h AS (SELECT DISTINCT doc_id, item_id, d.p - b.p AS p FROM documents_s d JOIN benchmark_s b USING (mask, seed)),
+v AS (SELECT h.doc_id, h.item_id, h.p, count(*) AS n_item, count(d.word) AS n_same
+      FROM h JOIN benchmark_w w USING (item_id) LEFT JOIN documents_w d ON d.doc_id = h.doc_id AND d.p = h.p + w.p AND d.word = w.word GROUP BY ALL)
 SELECT doc_id, item_id, p::BIGINT AS start_word, n_item::BIGINT AS n_item, n_same::BIGINT AS n_same FROM v WHERE n_same >= {OVERLAP} * n_item
 """
 
