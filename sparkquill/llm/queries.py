@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, media, mixing, near_dup, pii, secrets, substring_dedup, toxicity
+from . import decontaminate, line_dedup, media, mixing, near_dup, pii, secrets, substring_dedup, token_coder, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_token_coder": token_coder.op2_token_coder,
     "op3_media_columns": media.op3_media_columns,
     "op4_near_dup": near_dup.op4_near_dup,
     "op5_decontaminate": decontaminate.op5_decontaminate,

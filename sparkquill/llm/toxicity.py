@@ -167,3 +167,18 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+
+
+def rejected(docs: DataFrame, model: Model, bar: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, whose text scores below bar. Rows are scored where they lie: nothing is shuffled."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((model.weights, model.bias))
+    place = docs.columns.index("text")
+
+    def run(batches):
+        m, stamp = Model(*shared.value), np.zeros(1 << BITS, np.int32)
+        for b in batches:
+            buf, off = buffers(b.column(place))
+            yield b.filter(pa.array([m.score(_present(buf[off[i] : off[i + 1]], stamp)) < bar for i in range(len(off) - 1)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
