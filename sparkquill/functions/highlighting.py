@@ -57,9 +57,8 @@ def ranges(plan: Plan, data: bytes) -> list[Range]:
         for i in range(len(toks) - len(terms) + 1):
             own = [t[3] for t in toks[i : i + len(terms)]]
             fits = own[:-1] == list(terms[:-1]) and (own[-1].startswith(terms[-1]) if prefix else own[-1] == terms[-1])
-            if fits:
-                for (a, z, _, _), term in zip(toks[i : i + len(terms)], terms, strict=True):
-                    out.add(Range(a, z, term, PHRASE_PREFIX if prefix else PHRASE))
+            if fits:  # one range for the whole phrase
+                out.add(Range(toks[i][0], toks[i + len(terms) - 1][1], " ".join(terms), PHRASE_PREFIX if prefix else PHRASE))
     return sorted(out)
 
 
