@@ -17,8 +17,8 @@ from .common import LOWER, buffers, table
 #: n-gram lengths in bytes, hash bits, most labelled rows of each class, passes and step of the fit.
 GRAMS = (4, 6)
 BITS = 18
-SAMPLE = 4000
-SAMPLE_BYTES = 24 << 20
+SAMPLE = 2500
+SAMPLE_BYTES = 8 << 20
 EPOCHS = 40
 _SALT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646D, 0xFD7046C5, 0xB55A4F09, 0x8CB92BA7, 0x6C62272F], np.uint32)
 
@@ -75,21 +75,38 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, smooth: float
         return Model(np.zeros(1 << BITS), np.log(p / (1 - p)))
     rows = [_present(np.frombuffer(t.encode(), np.uint8), stamp).astype(np.int32) for t in texts]
     sizes = np.array([len(r) for r in rows])
-    slots, row = np.concatenate(rows), np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+    ends = np.cumsum(sizes)
+    slots, size = np.concatenate(rows), 1 << BITS
     del rows
-    pos = np.bincount(slots[y[row] == 1], minlength=1 << BITS) + smooth
-    neg = np.bincount(slots[y[row] == 0], minlength=1 << BITS) + smooth
+    # runs of texts whose features are handled at once, so that temporary arrays stay small
+    cuts = np.unique(np.searchsorted(ends, np.arange(0, len(slots) + 1, 1 << 19), "left"))
+    runs = [(i, j, ends[i] - sizes[i], ends[j - 1]) for i, j in zip(cuts, [*cuts[1:], len(sizes)], strict=True) if j > i]
+    if runs and runs[0][0] > 0:
+        runs.insert(0, (0, runs[0][0], 0, runs[0][2]))
+    root = np.sqrt(np.maximum(sizes, 1))
+
+    def margins(weights: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(y))
+        for i, j, a, z in runs:
+            out[i:j] = np.bincount(np.repeat(np.arange(j - i), sizes[i:j]), weights=weights[slots[a:z]], minlength=j - i)
+        return out / root
+
+    def totals(each: np.ndarray) -> np.ndarray:
+        out = np.zeros(size)
+        for i, j, a, z in runs:
+            out += np.bincount(slots[a:z], weights=np.repeat(each[i:j], sizes[i:j]), minlength=size)
+        return out
+
+    pos, neg = totals(y) + smooth, totals(1 - y) + smooth
     # share of the texts of a class that have the feature
     ratio = np.log(pos / (y.sum() + 2 * smooth)) - np.log(neg / ((1 - y).sum() + 2 * smooth))
     ratio[(pos + neg) <= 2 * smooth + 2] = 0.0  # seen in two texts or fewer
-    value = (ratio[slots] / np.sqrt(np.maximum(sizes, 1))[row]).astype(np.float32)
     per_class = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
-    w, bias = np.ones(1 << BITS) * 0.5, 0.0
-    m, v, mb, vb = np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0, 0.0
+    w, bias = np.ones(size) * 0.5, 0.0
+    m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for t in range(1, epochs + 1):
-        z = np.bincount(row, weights=value * w[slots], minlength=len(y)) + bias
-        g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * per_class
-        gw = np.bincount(slots, weights=value * g[row], minlength=1 << BITS) + ridge * w
+        g = (1 / (1 + np.exp(-np.clip(margins(w * ratio) + bias, -40, 40))) - y) * per_class
+        gw = totals(g / root) * ratio + ridge * w
         gb = g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw**2
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb**2
@@ -99,7 +116,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, smooth: float
     mean = np.abs(w[seen]).mean() if seen.any() else 0.0
     w = (1 - beta) * mean + beta * w
     w *= ratio
-    z = np.bincount(row, weights=w[slots] / np.sqrt(np.maximum(sizes, 1))[row], minlength=len(y))
+    z = margins(w)
     for _ in range(60):  # the bias anew, for classes of equal weight
         p = 1 / (1 + np.exp(-np.clip(z + bias, -40, 40)))
         g, h = ((p - y) * per_class).sum(), (p * (1 - p) * per_class).sum()
@@ -129,7 +146,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> l
             cut = int(span[0] + share * (span[1] - span[0]))
         for r in texts.where(F.col("o") <= F.lit(cut)).orderBy("o", "text").toLocalIterator():
             size += r["n"]
-            if size > SAMPLE_BYTES:
+            if size > SAMPLE_BYTES // 2:
                 break
             out.append((r["text"], label))
     return out
