@@ -228,11 +228,11 @@ def resolve(sequences: DataFrame, found: DataFrame) -> DataFrame:
     """Sequences (id, parts) with what `found` has for each digest beside every media part; order, positions and captions
     stay. found: (digest, ...), one row a digest or equal rows. A digest without a row stays unresolved (null)."""
     columns = [c for c in found.columns if c != "digest"]
-    one = found.groupBy("digest").agg(*[F.first(c).alias(c) for c in columns])
+    one = found.groupBy("digest").agg(*[F.first(c).alias(c) for c in columns]).select("digest", F.struct(*columns).alias("media"))
     parts = sequences.select("id", F.posexplode_outer("parts").alias("i", "part"))
     # text parts have no digest and would all meet in one task: only media parts go to the join
     media = parts.where("part.digest is not null").withColumn("digest", F.col("part.digest"))
-    media = media.join(one, "digest", "left").select("id", "i", "part", F.struct(*columns).alias("media"))
+    media = media.join(one, "digest", "left").select("id", "i", "part", "media")
     text = parts.where("part.digest is null").select("id", "i", "part", F.lit(None).cast(media.schema["media"].dataType).alias("media"))
     both = media.unionByName(text).groupBy("id").agg(F.array_sort(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "part", "media")))).alias("parts"))
     return both.select("id", F.transform("parts", lambda p: F.struct(p["part"].alias("part"), p["media"].alias("media"))).alias("parts"))
