@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,5 +33,5 @@ def dump(index: Index, limit: int | None = None) -> DataFrame:
 def memory_usage(index: Index) -> DataFrame:
     """(table_name, size_bytes): Catalyst's estimate of each table."""
     spark = index.docs.sparkSession
-    size = lambda df: int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = lambda df: Decimal(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return spark.createDataFrame([("docs", size(index.docs)), ("postings", size(index.postings)), ("terms", size(index.terms))], "table_name string, size_bytes decimal(38,0)")

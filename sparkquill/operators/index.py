@@ -121,7 +121,8 @@ def text_of(df: DataFrame, spec: IndexSpec, name: str) -> Column:
 
 
 def analysed(df: DataFrame, spec: IndexSpec) -> DataFrame:
-    """(doc_id, field_idx, tokens [, part]): one row for each field of a document that has a term."""
+    """(doc_id, field_idx, tokens [, part]): one row for each field of a document. Those without a term are left in: a filter
+    on tokens would move below the analysis and repeat it."""
     if spec.where is not None:
         df = df.where(spec.where)
     part = [] if spec.partition_by is None else [(F.expr(spec.partition_by) if isinstance(spec.partition_by, str) else spec.partition_by).alias("part")]
@@ -130,14 +131,16 @@ def analysed(df: DataFrame, spec: IndexSpec) -> DataFrame:
         out = df.select(F.col(spec.id_col).alias("doc_id"), *part, cells[0].alias("c"))
     else:
         out = df.select(F.col(spec.id_col).alias("doc_id"), *part, F.explode(F.array(*cells)).alias("c"))
-    return out.select("doc_id", *(["part"] if part else []), "c.field_idx", "c.tokens").where(F.size("tokens") > 0)
+    return out.select("doc_id", *(["part"] if part else []), "c.field_idx", "c.tokens")
 
 
 class Index:
     """An index over DataFrames; see build_index and sources.store for saved ones."""
 
-    def __init__(self, spec: IndexSpec, docs: DataFrame, postings: DataFrame, documents: DataFrame | None = None):
+    def __init__(self, spec: IndexSpec, docs: DataFrame, postings: DataFrame, documents: DataFrame | None = None, lengths: DataFrame | None = None):
+        """lengths: docs with rows of length 0 besides, which cost less to read where docs are analysed on the fly."""
         self.spec, self.docs, self.postings, self.documents = spec, docs, postings, documents
+        self.lengths = docs if lengths is None else lengths
 
     @property
     def part(self) -> list[str]:
@@ -150,8 +153,12 @@ class Index:
     @cached_property
     def stats_table(self) -> DataFrame:
         """One row (a row for each part). A document counts once whatever fields it has."""
-        own = self.docs.groupBy(*self.part, "doc_id").agg(F.sum("dl").alias("dl"), *[F.sum(F.when(F.col("field_idx") == i, F.col("dl")).otherwise(0)).alias(f"f{i}") for i in range(len(self.spec.fields))]) if len(self.spec.fields) > 1 else self.docs.withColumn("f0", F.col("dl"))
-        sums = [F.count(F.lit(1)).alias("n_docs"), F.sum("dl").alias("total_len"), *[F.sum(f"f{i}").alias(f"total_len_{i}") for i in range(len(self.spec.fields))]]
+        own, n = self.lengths, len(self.spec.fields)
+        if n > 1:
+            own = own.groupBy(*self.part, "doc_id").agg(F.sum("dl").alias("dl"), *[F.sum(F.when(F.col("field_idx") == i, F.col("dl")).otherwise(0)).alias(f"f{i}") for i in range(n)])
+        else:
+            own = own.withColumn("f0", F.col("dl"))
+        sums = [F.sum((F.col("dl") > 0).cast("long")).alias("n_docs"), F.sum("dl").alias("total_len"), *[F.sum(f"f{i}").alias(f"total_len_{i}") for i in range(n)]]
         return own.groupBy(*self.part).agg(*sums) if self.part else own.agg(*sums)
 
     @cached_property
@@ -159,7 +166,7 @@ class Index:
         if self.part:
             raise QuillError("a partitioned index has statistics for each part; use stats_table")
         r = self.stats_table.first()
-        return Stats(r["n_docs"], r["total_len"] or 0, tuple(r[f"total_len_{i}"] or 0 for i in range(len(self.spec.fields))))
+        return Stats(r["n_docs"] or 0, r["total_len"] or 0, tuple(r[f"total_len_{i}"] or 0 for i in range(len(self.spec.fields))))
 
     def field(self, name: str) -> int:
         try:
@@ -169,7 +176,7 @@ class Index:
 
     def persist(self) -> Index:
         """Cache the tables, as a warm-up; returns itself."""
-        self.docs.persist()
+        self.docs = self.lengths = self.docs.persist()
         self.postings.persist()
         self.__dict__.pop("terms", None)
         return self
@@ -182,12 +189,13 @@ class Index:
     def without(self, dead: DataFrame) -> Index:
         """The index without the documents of dead(doc_id): a filter until the next compaction, with live statistics."""
         gone = dead.select("doc_id").distinct()
-        return Index(self.spec, self.docs.join(gone, "doc_id", "left_anti"), self.postings.join(gone, "doc_id", "left_anti"), self.documents)
+        live = lambda df: df.join(gone, "doc_id", "left_anti")
+        return Index(self.spec, live(self.docs), live(self.postings), self.documents, live(self.lengths))
 
     def plus(self, other: Index) -> Index:
         """Both indexes as one. Their documents are distinct."""
         documents = self.documents.unionByName(other.documents) if self.documents is not None and other.documents is not None else None
-        return Index(self.spec, self.docs.unionByName(other.docs), self.postings.unionByName(other.postings), documents)
+        return Index(self.spec, self.docs.unionByName(other.docs), self.postings.unionByName(other.postings), documents, self.lengths.unionByName(other.lengths))
 
     def append(self, df: DataFrame) -> Index:
         """More documents, visible at once. A document whose id exists already is replaced."""
@@ -207,11 +215,12 @@ def build_index(df: DataFrame, spec: IndexSpec) -> Index:
     part = ["part"] if spec.partition_by is not None else []
     dl = F.size("tokens").cast("long")
     sized = own.select("doc_id", *part, "field_idx", dl.alias("dl"), quantised_length_col(dl).alias("dlq"), "tokens")
-    docs = sized.drop("tokens")
-    flat = sized.select("doc_id", *part, "field_idx", "dlq", F.explode("tokens").alias("t")).select("doc_id", *part, "field_idx", "dlq", F.col("t.term").alias("term"), F.col("t.pos").alias("pos"))
+    lengths = sized.drop("tokens")
+    # outer: an inner explode would be given a filter that analyses every text a second time
+    flat = sized.select("doc_id", *part, "field_idx", "dlq", F.explode_outer("tokens").alias("t")).select("doc_id", *part, "field_idx", "dlq", F.col("t.term").alias("term"), F.col("t.pos").alias("pos")).where("term is not null")
     # a document's rows lie in one task, so the partial aggregate already holds its final postings
     postings = flat.groupBy(*part, "field_idx", "term", "doc_id", "dlq").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-    return Index(spec, docs, postings, df)
+    return Index(spec, lengths.where("dl > 0"), postings, df, lengths)
 
 
 class IndexCatalog:

@@ -150,10 +150,11 @@ def score_text(df: DataFrame, spec: IndexSpec, query: str) -> DataFrame:
     own = analysed(df, spec).select("doc_id", F.size("tokens").cast("long").alias("dl"), F.transform("tokens", lambda t: t["term"]).alias("terms"))
     tfs = [F.size(F.filter("terms", _equals(t))).alias(f"t{i}") for i, t in enumerate(bag)]
     own = own.select("doc_id", "dl", *tfs)
-    s = own.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total"), *[F.sum((F.col(f"t{i}") > 0).cast("long")).alias(f"t{i}") for i in range(len(bag))]).first()
+    s = own.agg(F.sum((F.col("dl") > 0).cast("long")).alias("n"), F.sum("dl").alias("total"), *[F.sum((F.col(f"t{i}") > 0).cast("long")).alias(f"t{i}") for i in range(len(bag))]).first()
     total: Column = F.lit(0.0)
     for i, (_, count) in enumerate(bag.items()):
         if s[f"t{i}"]:
+            # a text without terms adds 0 to 0
             total = total + F.lit(idf(s["n"], s[f"t{i}"]) * count) * tf_col(F.col(f"t{i}"), quantised_length_col(F.col("dl")), F.lit(s["total"] / s["n"]), spec.k1, spec.b)
     ids = df.select(F.col(spec.id_col).alias("doc_id"))
     return ids.join(own.select("doc_id", F.round(-total, 10).alias("score")), "doc_id", "left").select("doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
