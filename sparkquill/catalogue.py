@@ -149,7 +149,7 @@ qt AS (SELECT query_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_
 sc AS (SELECT query_id, doc_id, round(-sum(w * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dlq / av))), 10) AS score
 FROM q JOIN df USING (f, term) JOIN tf USING (f, term) JOIN dl USING (doc_id, f) JOIN avgs USING (f) CROSS JOIN n {where} GROUP BY query_id, doc_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, doc_id) AS rank FROM sc)
-SELECT query_id, rank, doc_id, round(score, 4) AS score FROM r WHERE rank <= {k}"""
+SELECT query_id, rank::INTEGER AS rank, doc_id, round(score, 4) AS score FROM r WHERE rank <= {k}"""
 
 
 @query("bm25_batch_topk", _batch_sql("SELECT item_id AS query_id, text FROM benchmark", 5))
@@ -367,7 +367,7 @@ def bm25_having(spark, sf):
     return found.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("score"), 4).alias("best")).where("n > 20")
 
 
-@query("bm25_rank_window", standard(WORDS, "SELECT lang, rank, doc_id, round(score, 4) AS score FROM (SELECT lang, doc_id, score, row_number() OVER (PARTITION BY lang ORDER BY score, doc_id) AS rank FROM sc JOIN documents USING (doc_id)) WHERE rank <= 3"))
+@query("bm25_rank_window", standard(WORDS, "SELECT lang, rank::INTEGER AS rank, doc_id, round(score, 4) AS score FROM (SELECT lang, doc_id, score, row_number() OVER (PARTITION BY lang ORDER BY score, doc_id) AS rank FROM sc JOIN documents USING (doc_id)) WHERE rank <= 3"))
 def bm25_rank_window(spark, sf):
     docs = table(spark, sf, "documents")
     found = scores(build_index(docs, SPEC), WORDS).join(docs.select("doc_id", "lang"), "doc_id")
