@@ -7,7 +7,7 @@ document in one shuffle with a partial sum before it, and takes the top k of eve
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -207,6 +207,17 @@ def more_like_this(index: Index, doc_ids: list, k: int) -> DataFrame:
     return search_batch(index, queries, k, except_self=True)
 
 
+def search_each(indexes: dict[str, Index], query: str | BM25Query | dict[str, str | BM25Query], k: int) -> DataFrame:
+    """(name, doc_id, score): the k best of each index, as for one partial index a language. query: one for all, or one a name."""
+    out = None
+    for name, index in indexes.items():
+        own = search(index, query[name] if isinstance(query, dict) else query, k).select(F.lit(name).alias("name"), "doc_id", "score")
+        out = own if out is None else out.unionByName(own)
+    if out is None:
+        raise QuillError("no index is given")
+    return out
+
+
 def facets(found: DataFrame, documents: DataFrame, by: str, id_col: str = "doc_id") -> DataFrame:
     """(value, n): how often each value of a column occurs among found documents."""
     own = documents.select(F.col(id_col).alias("doc_id"), F.col(by).alias("value"))
@@ -218,6 +229,7 @@ class Searcher:
 
     def __init__(self, catalog: IndexCatalog):
         self.catalog = catalog
+        self.scans: Counter[str] = Counter()  # searches by index name
 
     def index(self, query: BM25Query, fields: list[str] | None) -> Index:
         if query.index:
@@ -235,6 +247,7 @@ class Searcher:
         query = as_query(query)
         index = self.index(query, fields)
         k = index.spec.conf.default_limit if k is None else k
+        self.scans[index.spec.name] += 1
         return SearchResult(index, query, search(index, query, k, **options))
 
 
