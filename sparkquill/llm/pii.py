@@ -2,8 +2,8 @@
 
 Plain identifiers are found in the text as it is. Then transducers rewrite the text, each keeping for every character of
 its output the span of source characters it stands for: homoglyphs become ASCII, spelled digits become digits, and
-at/dot disguises become @ and a full stop. Identifiers are detected in the normalised text and their spans are mapped back to the source;
-those that overlap no plain span are added.
+at/dot disguises become @ and a full stop. Identifiers are detected in the normalised text and their spans
+are mapped back to the source; those that overlap no plain span, or contain those that they overlap, are added.
 """
 
 from __future__ import annotations
@@ -87,15 +87,16 @@ _HINT_DIGIT = re.compile(rf"\b{_DIGIT}[\x20,.-]{{1,2}}(?:{_DIGIT}|[0-9])", re.I)
 
 _AT = r"\s?(?:[\[({<]\s?(?:at|@)\s?[\])}>])\s?|\s@\s"
 _DOT = r"\s?(?:[\[({<]\s?(?:dot|\.)\s?[\])}>])\s?|\sdot\s"
+_HOST_DOT = rf"{_DOT}|\s\.\s"
 # a bare " at " counts only with a disguised dot after it; a bracketed at or a spaced @ also with a plain full stop
 _DISGUISED = re.compile(
     rf"[A-Za-z0-9_%+-]{{1,64}}(?:(?:{_DOT}|\.)[A-Za-z0-9_%+-]{{1,64}}){{0,4}}"
-    rf"(?:(?:{_AT})[A-Za-z0-9-]{{1,63}}(?:(?:{_DOT}|\.)[A-Za-z0-9-]{{1,63}}){{1,5}}|(?:\sat\s|@)[A-Za-z0-9-]{{1,63}}(?:\.[A-Za-z0-9-]{{1,63}}){{0,4}}(?:(?:{_DOT})[A-Za-z0-9-]{{1,63}}){{1,5}})",
+    rf"(?:(?:{_AT})[A-Za-z0-9-]{{1,63}}(?:(?:{_HOST_DOT}|\.)[A-Za-z0-9-]{{1,63}}){{1,5}}|(?:\sat\s|@)[A-Za-z0-9-]{{1,63}}(?:\.[A-Za-z0-9-]{{1,63}}){{0,4}}(?:(?:{_DOT})[A-Za-z0-9-]{{1,63}}){{1,5}})",
     re.I,
 )
 _HINT_AT = re.compile(r"[\[({<]\s?(?:at|dot|@|\.)\s?[\])}>]|\sdot\s|\s@\s", re.I)
 _AT_PART = re.compile(rf"{_AT}|\sat\s", re.I)
-_DOT_PART = re.compile(_DOT, re.I)
+_DOT_PART = re.compile(_HOST_DOT, re.I)
 
 
 class Mapped:
@@ -156,17 +157,34 @@ def at_dot(m: Mapped) -> Mapped:
     return m.rewrite(edits)
 
 
+def spelled_phones(m: Mapped) -> list[tuple[int, int]]:
+    """Source spans of runs with at least seven spelled digits that stand for 10 to 15 digits: telephone numbers without +."""
+    if not _HINT_DIGIT.search(m.text):
+        return []
+    out = []
+    for run in _SPELLED_RUN.finditer(m.text):
+        parts = [x.lower() for x in re.findall(r"[A-Za-z]+|[0-9]", run[0])]
+        if sum(p in _SPELLED for p in parts) >= 7 and 10 <= sum(p in _SPELLED or p.isdigit() for p in parts) <= 15:
+            out.append(m.source(run.start(), run.end()))
+    return out
+
+
 def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """The plain spans and all spans, both sorted (start, rank, end), in code points of the source."""
     base = plain(text)
-    m = at_dot(spelled_digits(homoglyphs(Mapped(text))))
+    clear = homoglyphs(Mapped(text))
+    m = at_dot(spelled_digits(clear))
     if m.starts is None:
         return base, base
-    more, covered = [], sorted((a, z) for a, _, z in base)
+    more, covered = [], [(a, z) for a, _, z in base]
+    # apart from plain spans, or longer than those that it overlaps
+    free = lambda s, e: all(y <= s or e <= x or (s <= x and y <= e and (s, e) != (x, y)) for x, y in covered)
     for a, k, z in plain(m.text):
         s, e = m.source(a, z)
-        if not any(s < y and x < e for x, y in covered):
+        if free(s, e):
             more.append((s, k, e))
+    covered += [(a, z) for a, _, z in more]
+    more += [(s, 3, e) for s, e in spelled_phones(clear) if free(s, e)]
     return base, sorted(base + more)
 
 
