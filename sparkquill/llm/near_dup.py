@@ -91,20 +91,30 @@ def _signatures(batches):
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """(v, label): the smallest vertex that each vertex of the edges (a, b) reaches. Labels spread along edges and are then
-    replaced by their own labels, so the number of rounds grows with the logarithm of the longest path."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = saved(spark, both, "edges")
-    label = saved(spark, both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("label")), "labels")
-    while True:
-        near = both.join(label.select(F.col("v").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
-        step = label.join(near, label.v == near.a).select("v", F.least("label", "m").alias("label"), F.col("label").alias("old"))
-        jump = step.select(F.col("v").alias("label"), F.col("label").alias("further"))
-        new = step.join(jump, "label", "left").select("v", F.least("label", "further").alias("label"), "old")
-        new = saved(spark, new, "labels")
-        label = new.drop("old")
-        if new.where("label <> old").limit(1).count() == 0:
-            return label
+    """(v, label): the smallest vertex that each vertex of the edges (a, b) reaches.
+
+    Every vertex points to its smallest neighbour; pointers are followed to their ends, the ends become the vertices of the
+    next round, and only edges between different ends go on. A round at least halves the vertices that still have edges,
+    and what a vertex with very many edges contributes is summed up before it is sent anywhere.
+    """
+    edges = saved(spark, edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    label = None
+    while edges.limit(1).count():
+        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        ends = saved(spark, both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("v"), F.least("a", "b").alias("label")), "ends")
+        while True:  # a pointer to a pointer becomes a pointer to its end
+            further = saved(spark, ends.where("v <> label").select(F.col("v").alias("label"), F.col("label").alias("further")).join(ends.select("label").distinct(), "label", "left_semi"), "further")
+            n = further.count()
+            if not n:
+                break
+            ends = saved(spark, lookup(ends, further, ["label"], n, "left").select("v", F.coalesce("further", "label").alias("label")), "ends")
+        n = ends.count()
+        step = ends.select(F.col("v").alias("label"), F.col("label").alias("further"))
+        label = ends if label is None else saved(spark, lookup(label, step, ["label"], n, "left").select("v", F.coalesce("further", "label").alias("label")), "labels")
+        for side in ("a", "b"):
+            edges = lookup(edges, ends.select(F.col("v").alias(side), F.col("label").alias(f"{side}_end")), [side], n)
+        edges = saved(spark, edges.where("a_end <> b_end").select(F.greatest("a_end", "b_end").alias("a"), F.least("a_end", "b_end").alias("b")).distinct(), "edges")
+    return spark.createDataFrame([], "v long, label long") if label is None else label
 
 
 def candidate_ties(spark: SparkSession, sets: DataFrame) -> DataFrame:
