@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,21 @@ def saved(spark: SparkSession, df: DataFrame, tag: str, codec: str = "snappy") -
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Arrow batches of at most so many rows for the jobs within: less memory in the JVM and in Python workers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def lookup(big: DataFrame, small: DataFrame, on: list[str], rows: int, how: str = "inner") -> DataFrame:
     """Join a small keyed table to a wide one. Broadcast only when its counted rows are within the bound; shuffle beyond."""
     return big.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, on, how)

@@ -12,6 +12,7 @@ little-endian u32, then the blocks' bytes. A corpus is a table of containers in
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from functools import cache
@@ -21,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, saved, table, text_bytes, word_hashes, words
+from .common import buffers, saved, small_batches, table, text_bytes, word_hashes, words
 
 MAGIC = b"CMR1"
 BLOCK_IDS = 4096
-LANES = 2048
+LANES = 1024
 #: Slots of the order-1 and order-2 tables, and of order-0 rows for the last nibble.
-SLOTS, LAST = 2048, 1024
+SLOTS, LAST = 2048, 512
 _TOP = 14  # bits of a frequency total
 _U = np.uint64
 _LOW32 = _U(0xFFFFFFFF)
@@ -130,25 +131,33 @@ class _Model:
         self.rows[:] = _FRESH
 
 
+_CONTEXTS = ((0, 0), (1, 15), (17, 255), (273, LAST - 1))
+
+
 def _nibbles(model: _Model, coder: _Coder, at: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
     """Code ids, or decode them if ids is None, by order-0 frequencies."""
-    value = np.zeros(len(at), np.int64)
-    k = np.arange(len(at)) * 16
-    start = model.row_base[at]
-    for depth, (base, mask) in enumerate(((0, 0), (1, 15), (17, 255), (273, LAST - 1))):
+    n = len(at)
+    value = np.zeros(n, np.int64)
+    wide = np.full((n, 17), 1 << _TOP, np.int16)  # a row and the total behind it
+    flat, k = wide.ravel(), np.arange(n) * 17
+    start = model.row_base.take(at)
+    for depth, (base, mask) in enumerate(_CONTEXTS):
         row = start + (base + (value & mask))
         freq = model.rows.take(row, axis=0)
+        wide[:, :16] = freq
         if ids is None:
             goal, unit = coder.target(at)
             nib = np.count_nonzero(freq <= goal.astype(np.int16)[:, None], axis=1) - 1
         else:
             nib, unit = (ids >> (12 - 4 * depth)) & 15, None
-        flat = freq.ravel()
-        cum = flat.take(k + nib)
-        above = flat.take(k + np.minimum(nib + 1, 15))
-        above[nib == 15] = 1 << _TOP
-        coder.narrow(at, cum, above - cum, unit)
-        model.rows[row] = freq + ((_PULL.take(nib, axis=0) - freq) >> 4)
+        place = k + nib
+        cum = flat.take(place)
+        coder.narrow(at, cum, flat.take(place + 1) - cum, unit)
+        pull = _PULL.take(nib, axis=0)
+        pull -= freq
+        pull >>= 4
+        pull += freq
+        model.rows[row] = pull
         value = value << 4 | nib
     return value
 
@@ -194,22 +203,23 @@ def _step(model: _Model, coder: _Coder, n: int, ids: np.ndarray | None) -> np.nd
 
 def encode(ids: np.ndarray, block: int = BLOCK_IDS) -> bytes:
     """A container of the ids (integers below 65536). No ids: a container of no blocks."""
-    ids = np.ascontiguousarray(ids, np.int64)
-    if len(ids) and (ids.min() < 0 or ids.max() > 0xFFFF):
+    ids = np.asarray(ids)
+    if len(ids) and (int(ids.min()) < 0 or int(ids.max()) > 0xFFFF):
         raise ValueError("ids are 0 to 65535")
+    ids = ids.astype(np.uint16, copy=False)
     blocks = [ids[i : i + block] for i in range(0, len(ids), block)]
     heads, bodies = [], []
     for i in range(0, len(blocks), LANES):
         own = blocks[i : i + LANES]
         sizes = np.array([len(b) for b in own])
         longest = int(sizes[0])
-        grid = np.zeros((longest, len(own)), np.int64)
+        grid = np.zeros((longest, len(own)), np.uint16)
         for k, b in enumerate(own):
             grid[: len(b), k] = b
         model, coder = _Model(len(own)), _Coder(len(own), longest * 3 + 4)
         for t in range(longest):  # only the last block of all may be shorter
             n = len(own) if sizes[-1] > t else len(own) - 1
-            _step(model, coder, n, grid[t, :n])
+            _step(model, coder, n, grid[t, :n].astype(np.int64))
         bodies += coder.finish()
         heads += [(len(b), zlib.crc32(b.astype("<u4").tobytes())) for b in own]
     head = MAGIC + struct.pack("<I", len(heads)) + b"".join(struct.pack("<III", n, len(d), c) for (n, c), d in zip(heads, bodies, strict=True))
@@ -235,7 +245,7 @@ def decode(data: bytes) -> np.ndarray:
         for k in range(len(own)):
             raw[k, : own[k, 1] // 4] = np.frombuffer(data, "<u4", own[k, 1] // 4, at[i + k])
         model, coder = _Model(len(own)), _Coder(len(own), data=raw)
-        grid = np.zeros((longest, len(own)), np.int64)
+        grid = np.zeros((longest, len(own)), np.uint16)
         for t in range(longest):
             n = len(own) if own[-1, 0] > t else len(own) - 1
             grid[t, :n] = _step(model, coder, n, None)
@@ -243,15 +253,15 @@ def decode(data: bytes) -> np.ndarray:
             ids = grid[: own[k, 0], k].astype("<u4")
             if zlib.crc32(ids.tobytes()) != own[k, 2]:
                 raise ValueError(f"block {i + k} is damaged")
-            out.append(ids)
-    return np.concatenate(out) if out else np.zeros(0, np.uint32)
+            out.append(ids.astype(np.uint16))
+    return np.concatenate(out).astype(np.uint32) if out else np.zeros(0, np.uint32)
 
 
 # ---- corpora ----------------------------------------------------------------------------------------
 
 END = 2
-#: Ids of a container, about: a container ends with the document that fills it.
-CONTAINER_IDS = 1 << 23
+#: Ids of a container, about: it ends with the texts that fill it. With those it still fits the lanes, as a rule.
+CONTAINER_IDS = 3_700_000
 
 
 #: A special token of the vocabulary; words that hold "<|" are encoded one by one.
@@ -260,11 +270,18 @@ MARK = "<|startoftext|>"
 
 @cache
 def _tokenizer(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
 
 
+@cache
+def _shared_cache(path: str) -> WordCache:
+    """One cache for all tasks that a Python worker runs."""
+    return WordCache(path)
+
+
 class WordCache:
     """Encodes texts word by word: this tokenizer's normaliser and splitter never look across ASCII white space, so each
     distinct word of a batch is encoded once by the library and texts are put together from these."""
@@ -286,7 +303,9 @@ class WordCache:
             size = np.array([len(x) for x in found], np.int64)
             return size, np.fromiter((i for x in found for i in x), np.uint16, int(size.sum()))
         chunks = [MARK.join(fresh[i : i + 2000]) for i in range(0, len(fresh), 2000)]
-        flat = np.concatenate([np.array([*x.ids, mark], np.uint16) for x in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)])
+        # few chunks at a time: the library's results take far more memory than the ids in them
+        found = (x.ids for i in range(0, len(chunks), 4) for x in tokenizer.encode_batch_fast(chunks[i : i + 4], add_special_tokens=False))
+        flat = np.concatenate([np.array([*ids, mark], np.uint16) for ids in found])
         ends = np.flatnonzero(flat == mark)
         return np.diff(ends, prepend=-1) - 1, flat[flat != mark]
 
@@ -335,7 +354,7 @@ def write_tokens(docs: DataFrame, path: str, end: int = END, order_by: tuple[str
     own = own.repartitionByRange(parts, *keys).sortWithinPartitions(*keys, "text").select(F.spark_partition_id().alias("part"), "doc", "text")
 
     def run(batches):
-        cache_, seq, part = WordCache(path), 0, 0
+        cache_, seq, part = _shared_cache(path), 0, 0
         held: tuple[list, list, list] = ([], [], [])  # ids, documents, sizes
         total = 0
 
@@ -353,7 +372,7 @@ def write_tokens(docs: DataFrame, path: str, end: int = END, order_by: tuple[str
             ids = b.column(1).to_pylist()
             i = 0
             while i < len(ids):
-                j = max(i + 1, int(np.searchsorted(off, off[i] + (2 << 20), "right")) - 1)
+                j = max(i + 1, int(np.searchsorted(off, off[i] + (1 << 19), "right")) - 1)
                 j = min(j, len(ids))
                 out, counts = cache_.texts(buf[off[i] : off[j]], off[i : j + 1] - off[i], end)
                 held[0].append(out)
@@ -367,7 +386,8 @@ def write_tokens(docs: DataFrame, path: str, end: int = END, order_by: tuple[str
         if total:
             yield container()
 
-    return saved(spark, own.mapInArrow(run, _CONTAINERS), "tokens", codec="none")
+    with small_batches(spark):
+        return saved(spark, own.mapInArrow(run, _CONTAINERS), "tokens", codec="none")
 
 
 _INDEX = "doc_id long, start long, n_tokens long, ids_crc32 long"
