@@ -241,6 +241,7 @@ def resolve(sequences: DataFrame, found: DataFrame) -> DataFrame:
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document is a sequence of one media part: its whole text. The reference is its digest."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("payload"))
-    found = saved(spark, payload_features(saved(spark, payload_store(docs), "media-store", codec="none")), "media-features")
-    found = found.groupBy("digest").agg(*[F.first(c).alias(c) for c in found.columns if c != "digest"])
+    found = payload_features(saved(spark, payload_store(docs), "media-store", codec="none"))
+    # a table of its own: a join with a bare aggregate could not split the digest of a text with very many copies
+    found = saved(spark, found.groupBy("digest").agg(*[F.first(c).alias(c) for c in found.columns if c != "digest"]), "media-features")
     return docs.select("doc_id", F.sha2("payload", 256).alias("digest")).join(found, "digest").drop("digest")
