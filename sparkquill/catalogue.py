@@ -64,7 +64,7 @@ def bag(text: str, fields: tuple[int, ...] = (0,), weights: tuple[float, ...] =
 
 
 def scored(k1: float = 1.2, b: float = 0.75) -> str:
-    return f"""sc AS (SELECT doc_id, round(-sum(w * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {k1 + 1} / (tf + {k1} * ({1 - b} + {b} * dlq / av))), 10) AS score
+    return f"""sc AS (SELECT doc_id, round(-sum(w * ln((n + 1) / (df + 0.5)) * tf * {k1 + 1} / (tf + {k1} * ({1 - b} + {b} * dlq / av))), 10) AS score
 FROM q JOIN df USING (f, term) JOIN tf USING (f, term) JOIN dl USING (doc_id, f) JOIN avgs USING (f) CROSS JOIN n GROUP BY doc_id)"""
 
 
@@ -146,7 +146,7 @@ def bm25_postfilter(spark, sf):
 def _batch_sql(queries: str, k: int, where: str = "") -> str:
     return rf"""WITH {corpus()}, qs AS ({queries}),
 qt AS (SELECT query_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS term FROM qs), q AS (SELECT query_id, 0 AS f, term, count(*) AS w FROM qt GROUP BY ALL),
-sc AS (SELECT query_id, doc_id, round(-sum(w * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dlq / av))), 10) AS score
+sc AS (SELECT query_id, doc_id, round(-sum(w * ln((n + 1) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dlq / av))), 10) AS score
 FROM q JOIN df USING (f, term) JOIN tf USING (f, term) JOIN dl USING (doc_id, f) JOIN avgs USING (f) CROSS JOIN n {where} GROUP BY query_id, doc_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, doc_id) AS rank FROM sc)
 SELECT query_id, rank::INTEGER AS rank, doc_id, round(score, 4) AS score FROM r WHERE rank <= {k}"""
@@ -220,7 +220,7 @@ def bm25_partial_index_en(spark, sf):
     "bm25_partition_stats",
     rf"""WITH {corpus()}, p AS (SELECT doc_id, lang AS part FROM documents), np AS (SELECT part, count(DISTINCT doc_id) AS n, count(*) AS total FROM tok JOIN p USING (doc_id) GROUP BY part),
 dfp AS (SELECT part, term, count(*) AS df FROM tf JOIN p USING (doc_id) GROUP BY ALL), {bag('the de und que')},
-sc AS (SELECT doc_id, round(-sum(w * ln(1 + (np.n - dfp.df + 0.5) / (dfp.df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dlq / (total / np.n)))), 10) AS score
+sc AS (SELECT doc_id, round(-sum(w * ln((np.n + 1) / (dfp.df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dlq / (total / np.n)))), 10) AS score
 FROM q JOIN tf USING (term) JOIN p USING (doc_id) JOIN dfp USING (part, term) JOIN np USING (part) JOIN dl USING (doc_id) GROUP BY doc_id) {best(20)}""",
 )
 def bm25_partition_stats(spark, sf):

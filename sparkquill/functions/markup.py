@@ -142,8 +142,7 @@ def _inline(out: Pieces, text: str, start: int) -> None:
     for m in _INLINE.finditer(text):
         if m["escape"]:
             run(at, m.start())
-            out.add(m["escape"], start + m.start() + 1)
-            at = m.end()
+            at = m.start("escape")  # the escaped sign begins the next run
             continue
         run(at, m.start())
         at = m.end()

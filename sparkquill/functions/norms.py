@@ -26,12 +26,15 @@ def quantised_length_col(n: Column) -> Column:
 
 
 def idf(n_docs: float, df: float) -> float:
-    return math.log1p((n_docs - df + 0.5) / (df + 0.5))
+    without = n_docs - df
+    return math.log1p((without + 0.5) / (df + 0.5))
 
 
 def idf_col(n_docs: Column, df: Column) -> Column:
-    return F.log1p((n_docs - df + 0.5) / (df + 0.5))
+    without = n_docs - df
+    return F.log1p((without + 0.5) / (df + 0.5))
 
 
 def tf_col(tf: Column, length: Column, average: Column, k1: float, b: float) -> Column:
-    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average))
+    norm = k1 * ((1 - b) + b * length / average)
+    return (k1 + 1) * tf / (norm + tf)
