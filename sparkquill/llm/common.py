@@ -67,7 +67,7 @@ def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
 
 
-# ---- bytes, words and rolling hashes ------------------------------------------------------------
+# ---- bytes, words and rolling hashes
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True

@@ -24,7 +24,7 @@ from .common import saved, table
 WIDTH = 64
 _SIGN = b"\x89PNG\r\n\x1a\n"
 
-# ---- PNG, 8-bit greyscale -------------------------------------------------------------------------
+# ---- PNG, 8-bit greyscale
 
 
 def _chunk(kind: bytes, data: bytes) -> bytes:
@@ -67,7 +67,7 @@ def from_png(media: bytes) -> bytes:
     return lines[:, 1:].tobytes()
 
 
-# ---- the payload store ----------------------------------------------------------------------------
+# ---- the payload store
 
 _STORE = "digest string, n_bytes long, media binary"
 
@@ -124,7 +124,7 @@ def payload_features(store: DataFrame) -> DataFrame:
     return store.select("digest", "n_bytes", "media").mapInArrow(run, _FEATURES)
 
 
-# ---- sequences --------------------------------------------------------------------------------------
+# ---- sequences
 
 PART = "struct<pos:int,kind:string,text:string,digest:string,caption:string,source:string>"
 _MEDIA = {"img", "video", "audio", "source", "embed"}

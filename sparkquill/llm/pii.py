@@ -64,7 +64,7 @@ def plain(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-# ---- transducers --------------------------------------------------------------------------------
+# ---- transducers
 
 _SAME = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h", "ո": "n", "ɡ": "g",

@@ -257,7 +257,7 @@ def decode(data: bytes) -> np.ndarray:
     return np.concatenate(out).astype(np.uint32) if out else np.zeros(0, np.uint32)
 
 
-# ---- corpora ----------------------------------------------------------------------------------------
+# ---- corpora
 
 END = 2
 #: Ids of a container, about: it ends with the texts that fill it. With those it still fits the lanes, as a rule.
