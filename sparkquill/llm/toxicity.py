@@ -128,27 +128,27 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> l
     """(text, label) of at most `sample` rows of each class and SAMPLE_BYTES bytes, in order of a hash of the id.
 
     Rows without an id, text or label, and labels other than 0 and 1, are left out; of labels that repeat an id the largest
-    counts.
+    counts. A text that does not fit in what is left of its class's bytes is passed over and the sample goes on behind it; one
+    above half of SAMPLE_BYTES never fits and takes no place among the `sample` rows.
     """
     own = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("__label"))
-    rows = docs.select("doc_id", "text").where("text is not null and text <> ''").join(own, "doc_id")
-    rows = rows.withColumn("__order", F.xxhash64("doc_id"))
+    full = docs.select("doc_id", "text", F.xxhash64("text").alias("t")).where("text is not null and text <> ''")
+    # before the join: it shuffles numbers, not texts
+    rows = full.select("doc_id", "t", F.xxhash64("doc_id").alias("o"), F.octet_length("text").alias("n")).join(own, "doc_id")
     out = []
     for label in (0, 1):
-        size = 0
-        few = rows.where(F.col("__label") == label).orderBy("__order").select(F.col("doc_id")).limit(sample)
-        texts = docs.select("doc_id", "text").join(few, "doc_id").select("text", F.octet_length("text").alias("n"), F.xxhash64("doc_id").alias("o"))
-        total = texts.agg(F.sum("n")).first()[0] or 0
-        share = min(1.0, SAMPLE_BYTES / 2 / max(total, 1))
-        cut = int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1
-        span = few.select(F.xxhash64("doc_id").alias("o")).agg(F.min("o"), F.max("o")).first()
-        if share < 1 and span[0] is not None:
-            cut = int(span[0] + share * (span[1] - span[0]))
-        for r in texts.where(F.col("o") <= F.lit(cut)).orderBy("o", "text").toLocalIterator():
-            size += r["n"]
-            if size > SAMPLE_BYTES // 2:
-                break
-            out.append((r["text"], label))
+        keys = rows.where((F.col("__label") == label) & (F.col("n") <= SAMPLE_BYTES // 2)).select("doc_id", "o", "t", "n").orderBy("o", "doc_id", "t").limit(sample)
+        size, chosen = 0, []
+        for r in keys.collect():  # four numbers a row, at most `sample` rows; their texts come below
+            if size + r["n"] <= SAMPLE_BYTES // 2:
+                size += r["n"]
+                chosen.append(r)
+        if not chosen:
+            continue
+        wanted = docs.sparkSession.createDataFrame(chosen, keys.schema).select("doc_id", "t").distinct()
+        found = full.join(F.broadcast(wanted), ["doc_id", "t"]).distinct()
+        texts = {(r["doc_id"], r["t"]): r["text"] for r in found.toLocalIterator()}
+        out += [(texts[r["doc_id"], r["t"]], label) for r in chosen]
     return out
 
 

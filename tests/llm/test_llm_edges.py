@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sparkquill.llm import common, decontaminate, line_dedup, media, mixing, near_dup, pii, secrets, substring_dedup, token_coder, toxicity
 
@@ -281,6 +282,22 @@ def test_labels(spark, empty):
     assert toxicity.training_rows(empty, labels) == []
 
 
+@pytest.mark.parametrize("label", [0, 1])
+def test_long_labelled_text(spark, label):
+    first, *rest = [r.id for r in spark.range(1, 61).orderBy(F.xxhash64("id")).collect()]
+    long = "long " * (toxicity.SAMPLE_BYTES // 8)  # above the bytes of a class, and first in hash order
+    rows = [(i, f"you awful idiot number {i} go away" if i % 2 else f"what a fine day number {i} it is") for i in rest]
+    docs = spark.createDataFrame([(first, long), *rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(first, label), *((i, i % 2) for i in rest)], "doc_id long, toxic int")
+    got = toxicity.training_rows(docs, labels)
+    assert sorted(got) == sorted((t, i % 2) for i, t in rows)
+    some = toxicity.training_rows(docs, labels, sample=5)
+    assert [sum(x[1] == k for x in some) for k in (0, 1)] == [5, 5]
+    model = toxicity.fit([t for t, _ in got], [k for _, k in got])
+    r = {x.doc_id: x.score for x in toxicity.score(spark.createDataFrame([(1, "a fine day"), (2, "awful idiot")], "doc_id long, text string"), model).collect()}
+    assert r[1] < 0.5 < r[2]
+
+
 # ---- personal data
 
 
