@@ -8,6 +8,9 @@ diagonal and the overlap is verified word by word.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,8 @@ from .common import saved, table
 MASKS = ("1101011001", "1011100011")
 #: Share of an item's words that must agree along one diagonal.
 OVERLAP = 0.8
+#: Least item words of a quoted part, most words by which a neighbouring diagonal may be off, its least run of agreeing words.
+PART, SHIFT, RUN = 13, 2, 3
 #: Items shorter than the masks are compared as one whole seed.
 SEED_ROWS = 2_000_000
 
@@ -39,10 +44,11 @@ def _runs(n: int):
     return F.transform(places, lambda i: F.struct(i.alias("at"), F.xxhash64(F.array_join(F.slice("words", i + 1, F.lit(n)), " ")).alias("seed")))
 
 
-def _all_seeds(df: DataFrame, masks: tuple[str, ...]) -> DataFrame:
+def _all_seeds(df: DataFrame, masks: tuple[str, ...], only: tuple[str, ...] | None = None) -> DataFrame:
+    """Seeds of the masks, or of some of them under the numbers they have among all."""
     # the outer transform binds the hashes to a variable: a plain column would be inlined and hashed anew at every position
     hashes = F.array(F.transform("words", lambda w: F.xxhash64(w)))
-    seeds = F.transform(hashes, lambda h: F.concat(*[_seeds(h, F.size(h), m, k) for k, m in enumerate(masks)]))
+    seeds = F.transform(hashes, lambda h: F.concat(*[_seeds(h, F.size(h), m, k) for k, m in enumerate(masks) if only is None or m in only]))
     return df.withColumn("seeds", F.element_at(seeds, 1))
 
 
@@ -99,14 +105,81 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
     return found
 
 
+def part_masks(n: int) -> tuple[str, ...]:
+    """Masks for items of n words."""
+    return MASKS if n >= 10 else ("1" * n,)
+
+
+def quoted(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(doc_id, item_id), distinct: documents that hold an item or a part of it, of at least PART words (the item's, if fewer).
+
+    Of some run of that many item words or more, OVERLAP must agree. A word agrees if the document has it at its place on the
+    hit's diagonal, or in a run of RUN agreeing words on a diagonal at most SHIFT away (words inserted or left out). Windows of
+    PART to 2 * PART - 1 words suffice: a longer one can be cut into such, one of which agrees as much as the whole.
+    """
+    spark = docs.sparkSession
+    items = benchmark.select(F.col(item_col).alias("item_id"), _words(F.col(item_text_col)).alias("item")).where("item_id is not null and size(item) > 0")
+    most = 2 * PART - 1
+    lengths = [r[0] for r in items.select(F.least(F.size("item"), F.lit(most)).alias("n")).distinct().collect()]  # at most `most` numbers
+    of = {n: part_masks(n) for n in sorted(lengths)}
+    masks = tuple(dict.fromkeys(m for n in of for m in of[n]))
+    if not masks:
+        return docs.select(F.col(id_col).alias("doc_id")).crossJoin(benchmark.select(F.col(item_col).alias("item_id"))).where("false")
+    own = []
+    for n, mine in of.items():
+        some = items.where(F.least(F.size("item"), F.lit(most)) == n).withColumnRenamed("item", "words")
+        own.append(_all_seeds(some, masks, mine).select("item_id", F.explode("seeds").alias("s")).select("item_id", F.col("s.at").alias("item_at"), "s.seed"))
+    test = own[0]
+    for x in own[1:]:
+        test = test.unionByName(x)
+    test = saved(spark, test.distinct(), "decon-parts")
+    known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), _words(F.col(text_col)).alias("words"))
+    seeded = _all_seeds(known, masks).select("doc_id", "words", F.explode_outer("seeds").alias("s")).select("doc_id", "words", F.col("s.at").alias("at"), "s.seed")
+    start = (F.col("at") - F.col("item_at")).alias("start")
+    if test.count() <= SEED_ROWS:
+        hits = seeded.join(F.broadcast(test), "seed").select("doc_id", "words", "item_id", "item_at", start).join(F.broadcast(items), "item_id")
+    else:
+        places = seeded.select("doc_id", "at", "seed").join(test, "seed").select("doc_id", "item_id", "item_at", start).distinct()
+        hits = saved(spark, places, "decon-part-places").join(known, "doc_id").join(items, "item_id")
+
+    # the item's words around the hit; every window that holds the hit lies within
+    first = F.greatest(F.col("item_at") - most, F.lit(0))
+    last = F.least(F.col("item_at") + most + max(map(len, masks)), F.size("item")) - 1
+
+    def agree(shift: int):
+        one = F.transform(F.sequence(first, last), lambda j: F.coalesce(F.get("item", j) == F.get("words", F.col("start") + j + shift), F.lit(False)))
+        if not shift:
+            return one
+        # true where a run of RUN agreeing words covers the place
+        at = lambda m, j: F.coalesce(F.get(m, j), F.lit(False))
+        covers = lambda m, i, b: reduce(and_, [at(m, i + b + k) for k in range(RUN)])
+        inside = lambda m: F.transform(m, lambda _, i: reduce(or_, [covers(m, i, -b) for b in range(RUN)]))
+        return F.element_at(F.transform(F.array(one), inside), 1)
+
+    lanes = [agree(s) for s in range(-SHIFT, SHIFT + 1)]
+    same = reduce(lambda x, y: F.zip_with(x, y, lambda a, b: a | b), lanes)
+    least = F.least(F.size("item"), F.lit(PART))
+    # a window is least .. most words from i on; counted by a fold that keeps the words and whether some length did
+    state = F.struct(F.lit(0).alias("n"), F.lit(0).alias("k"), F.lit(False).alias("ok"))
+
+    def step(x, w):
+        n, k = x["n"] + 1, x["k"] + w.cast("int")
+        return F.struct(n.alias("n"), k.alias("k"), (x["ok"] | ((n >= F.col("least")) & (k >= F.lit(OVERLAP) * n))).alias("ok"))
+
+    # bound to a variable by the outer exists: a plain column would be computed anew for every window
+    fits = lambda m: F.exists(F.sequence(F.lit(1), F.size(m)), lambda i: F.aggregate(F.slice(m, i, F.lit(most)), state, step)["ok"])
+    found = hits.withColumn("least", least)
+    return found.where(F.exists(F.array(same), fits)).select("doc_id", "item_id").distinct()
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """(doc_id, n_items, item_ids): the documents that hold an item, and which."""
-    found = overlaps(docs, benchmark, **options)
+    """(doc_id, n_items, item_ids): the documents that hold an item or a part of it (see quoted), and which."""
+    found = quoted(docs, benchmark, **options)
     return found.groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids")).select("doc_id", F.size("item_ids").cast("long").alias("n_items"), "item_ids")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns, that hold no item."""
+    """The rows of docs, all columns, that hold no item and no part of one."""
     bad = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("__id"))
     return docs.join(bad, docs.doc_id == bad["__id"], "left_anti")
 

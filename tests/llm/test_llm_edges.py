@@ -237,6 +237,18 @@ def test_decontamination(spark, hard, empty, monkeypatch, rows_bound):
         decontaminate.overlaps(docs, bench, masks=("0110",))
 
 
+@pytest.mark.parametrize("rows_bound", [0, 2_000_000])
+def test_quoted_parts(spark, monkeypatch, rows_bound):
+    monkeypatch.setattr(decontaminate, "SEED_ROWS", rows_bound)
+    w, v, pad = [f"w{i}" for i in range(59)], [f"v{i}" for i in range(20)], [f"p{i}" for i in range(50)]
+    texts = [pad + w[5:45] + pad, w[40:] + pad, pad + w[:20], pad + w[:30] + ["new"] + w[30:] + pad, pad + v[:10] + ["new"] + v[10:] + pad, pad + v[:9] + v[10:] + pad, pad + w[:10] + pad, pad, []]
+    docs = make(spark, [(i, " ".join(t), "s") for i, t in enumerate(texts)] + [(None, " ".join(w), "s"), (9, None, "s")])
+    bench = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(v)), (3, ""), (4, None)], "item_id long, text string")
+    want = {(0, 1), (1, 1), (2, 1), (3, 1), (4, 2), (5, 2)}
+    assert {tuple(r) for r in decontaminate.quoted(docs, bench).collect()} == want
+    assert {r.doc_id for r in decontaminate.decontaminated(docs, bench).collect()} == {6, 7, 8, 9, None}
+
+
 # ---- secrets
 
 
