@@ -106,8 +106,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
 
 
 def part_masks(n: int) -> tuple[str, ...]:
-    """Masks for items of n words."""
-    return MASKS if n >= 10 else ("1" * n,)
+    """Masks for items of n words: each way to replace words within OVERLAP leaves a seed of one of them.
+
+    Up to 12 words that holds for the whole item, beyond for every window of PART to 2 * PART - 1 words.
+    """
+    if n < 4:
+        return ("1" * n,)
+    return ("1111", "1110111", *{5: ("11011", "11101", "10111"), 6: ("111011", "110111"), 10: ("1110110111",)}.get(n, ()))
 
 
 def quoted(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -249,6 +250,28 @@ def test_quoted_parts(spark, monkeypatch, rows_bound):
     assert {r.doc_id for r in decontaminate.decontaminated(docs, bench).collect()} == {6, 7, 8, 9, None}
 
 
+def test_masks_hit_every_pattern():
+    for n in range(1, 2 * decontaminate.PART):
+        masks = [[i for i, c in enumerate(m) if c == "1"] for m in decontaminate.part_masks(n) if len(m) <= n]
+        for gone in map(set, combinations(range(n), n - -(-4 * n // 5))):  # fewer replaced: the same seeds and more
+            assert any(all(a + i not in gone for i in m) for m in masks for a in range(n - m[-1])), (n, gone)
+
+
+def test_replaced_words(spark):
+    sizes = {5: [(2,), (3,)], 6: [(2,), (3,)], 9: [(4,)], 10: [(3, 6), (0, 5)], 12: [(3, 8)], 15: [(3, 7, 11), (2, 6, 10)], 20: [(3, 7, 11, 15)]}
+    item = {n: [f"w{n}x{i}" for i in range(n)] for n in sizes}
+    rows, want = [], set()
+    for n, all_gone in sizes.items():
+        for gone in [*all_gone, (0, 1, 2, 3, 4, 5)]:
+            text = ["zz", *("other" if i in gone else x for i, x in enumerate(item[n])), "zz"]
+            rows.append((len(rows), " ".join(text), "s"))
+            same = [i not in gone for i in range(n)]
+            spans = [(a, z) for a in range(n) for z in range(a + min(n, 13), n + 1)]
+            want |= {(rows[-1][0], n) for a, z in spans if 5 * sum(same[a:z]) >= 4 * (z - a)}  # without seeds
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in item.items()], "item_id long, text string")
+    assert {tuple(r) for r in decontaminate.quoted(make(spark, rows), bench).collect()} == want
+
+
 # ---- secrets
 
 
