@@ -1,17 +1,21 @@
 """Token-ID output: an adaptive context-mixing range coder over blocks of ids.
 
-Ids below 65536 are coded in blocks that know nothing of each other. In a block, tables indexed by the last id (order 1)
-and by the last two (order 2) predict the next id and count how often they were right. Logistic mixers turn these counts
-and adaptive hit rates into the probability of "the order-2 guess is right", then of "the order-1 guess is right"; an id
-that neither guesses is coded by order-0 adaptive frequencies of its four nibbles. A 64-bit carry-less range coder takes all
-decisions. Blocks run side by side as lanes of NumPy arrays, so each step of the model is one array operation for all.
-
-File format of a container: b"CMR1", u32 block count, then for each block u32 ids, u32 bytes and u32 CRC-32 of its ids as
-little-endian u32, then the blocks' bytes. A corpus is a table of containers in ascending order of documents.
+A block knows nothing of other blocks. Its ids are cut into lanes that are coded side by side, so each step of the model is
+one array operation for all lanes; the model is one for the block and learns from every lane after each step. Three models
+predict an id: order 2 (what followed the last two ids), order 1 (what followed the last id) and order 0 (how often each id
+has come). A logistic mixer turns what they say of the order-2 guess (hit rates by the confidence of order 2, of order 1,
+and by its order-0 frequency) into the probability that the guess is right; then the same for a different order-1 guess. An
+id that neither guesses is coded by its order-0 frequency. A 64-bit carry-less range coder takes all decisions. All that
+decoding depends on is integer arithmetic, so files do not depend on the machine.
+
+File format of a container: b"CMR2", u32 block count, then for each block u32 ids, u32 bytes, u32 CRC-32 of the block and
+then its ids as little-endian u32, then the blocks. A block: u32 lanes, u32 alphabet, u32 bytes of a list of ids (0: none), that list
+(zlib, u32 each, ascending: ids are coded as places in it), u32 words of each lane, then the lanes' words.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import struct
 import zlib
@@ -19,211 +23,310 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import buffers, saved, small_batches, table, text_bytes, word_hashes, words
+from .common import BROADCAST_ROWS, KEEP, LOWER, buffers, eights, in_groups, mix, release, saved, small_batches, table, text_bytes, words
 
-MAGIC = b"CMR1"
-BLOCK_IDS = 4096
-LANES = 1024
-#: Slots of the order-1 and order-2 tables, and of order-0 rows for the last nibble.
-SLOTS, LAST = 2048, 512
-_TOP = 14  # bits of a frequency total
+MAGIC = b"CMR2"
+BLOCK_IDS = 1 << 22
+#: Most lanes of a block, and the ids that a lane has at least (where there are so many).
+LANES, LANE_IDS = 4096, 256
+#: Ids up to this are coded as they are; a block with larger ones lists its ids.
+DENSE = 1 << 17
+#: Bits of the order-2 table, of a flag's and of an id's frequency total.
+SLOT_BITS, _FLAG, _ID, _CELL = 20, 16, 24, 10
 _U = np.uint64
 _LOW32 = _U(0xFFFFFFFF)
 
-_STRETCH = np.array([round(256 * np.log((p + 0.5) / (4096 - p - 0.5))) for p in range(4096)], np.int32)
-_SQUASH = np.array([min(4095, max(1, round(4096 / (1 + np.exp(-x / 256))))) for x in range(-2047, 2048)], np.int32)
-_FRESH = (np.arange(16, dtype=np.int16) << (_TOP - 4)).astype(np.int16)
-# where an adaptive row moves when a nibble is seen; every frequency stays above zero
-_PULL = np.array([[i + (i > s) * ((1 << _TOP) - 16) for i in range(16)] for s in range(16)], np.int16)
-_HIT_GOAL = np.array([0, 65535], np.int32)
+_STRETCH = np.array([round(256 * math.log((p + 0.5) / (4096 - p - 0.5))) for p in range(4096)], np.int64)
+_SQUASH = np.array([min(65536 - 24, max(24, round(65536 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], np.int64)
 
 
 class _Coder:
-    """All lanes' range coders. Encoding: out collects 32-bit words. Decoding: words are read from data.
+    """All lanes' range coders. Encoding collects (lane, word) pairs; decoding reads data (a row of words a lane).
 
     `at` names lanes: slice(0, n) for the first n, else an array of indices.
     """
 
-    def __init__(self, lanes: int, capacity: int = 0, data: np.ndarray | None = None):
+    def __init__(self, lanes: int, data: np.ndarray | None = None):
         self.low, self.range = np.zeros(lanes, _U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, _U)
-        self.wide = capacity if data is None else data.shape[1]
-        self.place = np.arange(lanes, dtype=np.int64) * self.wide
-        self.reading = data is not None
-        if self.reading:
-            self.words = data.ravel()
+        self.data = data
+        self.lanes: list[np.ndarray] = []
+        self.words: list[np.ndarray] = []
+        if data is not None:
+            self.flat = data.ravel()
             self.code = (data[:, 0].astype(_U) << _U(32)) | data[:, 1].astype(_U)
-            self.place += 2
-        else:
-            self.words = np.zeros(lanes * capacity, np.uint32)
-
-    def narrow(self, at, cum: np.ndarray, freq: np.ndarray, unit: np.ndarray | None = None) -> None:
-        """Code the interval [cum, cum + freq) of 2**_TOP in the lanes `at`."""
-        unit = self.range[at] >> _U(_TOP) if unit is None else unit
-        self.low[at] += unit * cum.astype(_U)
-        rng = unit * freq.astype(_U)
-        self.range[at] = rng
+            self.place = np.arange(lanes, dtype=np.int64) * data.shape[1] + 2
+
+    def narrow(self, at, cum: np.ndarray, freq: np.ndarray, unit: np.ndarray) -> None:
+        """Code the interval [cum, cum + freq) of the lanes; unit: their ranges over the total."""
+        self._set(at, self.low[at] + unit * cum, unit * freq)
+
+    def flag(self, at, p: np.ndarray, hit: np.ndarray | None) -> np.ndarray:
+        """Code yes or no, or decode it if hit is None; p: the probability of yes, of 2**_FLAG."""
+        low, rng = self.low[at], self.range[at]
+        bound = (rng >> _U(_FLAG)) * p
+        if hit is None:
+            hit = self.code[at] - low < bound
+        rng -= bound
+        low += bound * ~hit
+        np.copyto(rng, bound, where=hit)
+        self._set(at, low, rng)
+        return hit
+
+    def _set(self, at, low: np.ndarray, rng: np.ndarray) -> None:
         small = np.flatnonzero(rng <= _LOW32)
         if len(small):
             lanes = small if isinstance(at, slice) else at[small]
-            low, rng = self.low[lanes], rng[small]
-            cross = ((low ^ (low + rng)) >> _U(32)) != 0  # the range straddles a word: give up its upper part
-            rng = np.where(cross, (_U(0) - low) & _LOW32, rng)
-            place = self.place[lanes]
-            if self.reading:
-                self.code[lanes] = (self.code[lanes] << _U(32)) | self.words[place].astype(_U)
+            lo, r = low[small], rng[small]
+            top = lo >> _U(32)
+            cross = top != (lo + r) >> _U(32)  # the range straddles a word: give up its upper part
+            r = np.where(cross, (_U(0) - lo) & _LOW32, r)
+            if self.data is None:
+                self.lanes.append(lanes.astype(np.uint16))
+                self.words.append(top.astype(np.uint32))
             else:
-                self.words[place] = (low >> _U(32)).astype(np.uint32)
-            self.place[lanes] = place + 1
-            self.low[lanes], self.range[lanes] = low << _U(32), rng << _U(32)
-
-    def target(self, at) -> tuple[np.ndarray, np.ndarray]:
-        unit = self.range[at] >> _U(_TOP)
-        return np.minimum((self.code[at] - self.low[at]) // unit, _U((1 << _TOP) - 1)).astype(np.int32), unit
-
-    def finish(self) -> list[bytes]:
-        for shift in (32, 0):
-            self.words[self.place] = ((self.low >> _U(shift)) & _LOW32).astype(np.uint32)
-            self.place += 1
-        return [self.words[i * self.wide : e].astype("<u4").tobytes() for i, e in enumerate(self.place)]
-
-
-class _Guess:
-    """Mixes two hit rates of a guess into one probability and learns from the outcome."""
-
-    def __init__(self, lanes: int):
-        self.base = np.arange(lanes, dtype=np.int64) * 64
-        self.rates = [np.full(lanes * 64, 2048 << 4, np.int32) for _ in range(2)]  # 16-bit
-        self.weights = [np.full(lanes, 36000, np.int32) for _ in range(2)]  # of 65536
-
-    def probability(self, at, contexts: tuple) -> np.ndarray:
-        base = self.base[at]
-        self.at, self.index = at, [base + c for c in contexts]
-        self.old = [r.take(i) for r, i in zip(self.rates, self.index, strict=True)]
-        self.st = [_STRETCH.take(r >> 4) for r in self.old]
-        dot = (self.st[0] * self.weights[0][at] + self.st[1] * self.weights[1][at]) >> 16
-        self.p = _SQUASH.take(dot + 2047, mode="clip")
-        return self.p
-
-    def learn(self, hit: np.ndarray) -> None:
-        bit = hit.view(np.int8)
-        err = ((bit.astype(np.int32) << 12) - self.p) * 10
-        goal = _HIT_GOAL.take(bit)
-        for k in range(2):
-            self.weights[k][self.at] += (self.st[k] * err) >> 14
-            self.rates[k][self.index[k]] = self.old[k] + ((goal - self.old[k]) >> 5)
+                place = self.place[lanes]
+                self.code[lanes] = (self.code[lanes] << _U(32)) | self.flat.take(place, mode="clip").astype(_U)
+                self.place[lanes] = place + 1
+            low[small], rng[small] = lo << _U(32), r << _U(32)
+        self.low[at], self.range[at] = low, rng
+
+    def target(self, at, unit: np.ndarray) -> np.ndarray:
+        return (self.code[at] - self.low[at]) // unit
+
+    def finish(self) -> tuple[np.ndarray, np.ndarray]:
+        """How many words each lane has, and the words, lane by lane."""
+        n = len(self.low)
+        every = np.arange(n, dtype=np.uint16)
+        lanes = np.concatenate([*self.lanes, every, every])
+        out = np.concatenate([*self.words, (self.low >> _U(32)).astype(np.uint32), (self.low & _LOW32).astype(np.uint32)])
+        return np.bincount(lanes, minlength=n), out[np.argsort(lanes, kind="stable")]
+
+
+class _Mixer:
+    """The probability that a guess is right, for each joint context: 3 bits of one model's confidence, 3 of the other's,
+    1 of whether they agree, 5 of the guess's order-0 level. The hit rates by each of these are mixed in the logistic domain
+    with learned weights; what the joint context has seen itself refines the mix."""
+
+    SIZE = 1 << 12
+
+    def __init__(self):
+        j = np.arange(self.SIZE)
+        self.agree = (j >> 5) & 1
+        self.parts = [j >> 9 << 1 | self.agree, (j >> 6 & 7) << 1 | self.agree, (j & 31) << 1 | self.agree]
+        self.seen, self.hits = np.zeros(self.SIZE, np.int64), np.zeros(self.SIZE, np.int64)
+        self.weights = np.full((2, 3), 30000, np.int64)  # of 65536
+        self.held: list[np.ndarray] = []
+        self.mix()
+
+    def mix(self):
+        """Probabilities anew from the counts."""
+        stretched = []
+        for part in self.parts:
+            # sums of integers far below 2**53: exact in any order
+            n = np.bincount(part, weights=self.seen, minlength=64).astype(np.int64)
+            h = np.bincount(part, weights=self.hits, minlength=64).astype(np.int64)
+            stretched.append(_STRETCH[(((2 * h + 1) << 12) // (2 * n + 4))[part]])
+        self.stretched = stretched
+        dot = sum(s * self.weights[self.agree, i] for i, s in enumerate(stretched)) >> 16
+        self.mixed = _SQUASH[np.clip(dot, -2047, 2047) + 2047]
+        p = (self.mixed * 24 + (self.hits << _FLAG)) // (24 + self.seen)
+        self.p = np.clip(p, 24, (1 << _FLAG) - 24).astype(_U)
+
+    def learn(self) -> None:
+        """Take in what has been coded since the last time."""
+        if not self.held:
+            return
+        both = np.bincount(np.concatenate(self.held), minlength=2 * self.SIZE).reshape(-1, 2)
+        self.held.clear()
+        n, h = both.sum(1), both[:, 1]
+        error = ((h << 12) - n * (self.mixed >> 4)).astype(np.int64)
+        for a in (0, 1):
+            own = self.agree == a
+            total = int(n[own].sum())
+            if total:
+                for i, s in enumerate(self.stretched):
+                    step = int((error[own] * s[own]).sum()) // total >> 6
+                    self.weights[a, i] += max(-4000, min(4000, step))
+        self.seen += n
+        self.hits += h
+        if int(self.seen.max()) > 1 << 16:  # older counts fade
+            self.seen >>= 1
+            self.hits >>= 1
+        self.mix()
 
 
 class _Model:
-    """The state of all lanes."""
-
-    ROWS = 1 + 16 + 256 + LAST
+    """What a block has learned."""
 
-    def __init__(self, lanes: int):
-        self.base = np.arange(lanes, dtype=np.int64) * SLOTS
-        self.row_base = np.arange(lanes, dtype=np.int64) * self.ROWS
+    def __init__(self, lanes: int, alphabet: int, n: int, reading: bool):
+        self.reading = reading
         self.prev, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.table = [np.zeros(lanes * SLOTS, np.int32) for _ in range(2)]  # guess << 3 | times it was right, 7 at most
-        self.two, self.one = _Guess(lanes), _Guess(lanes)
-        self.rows = np.empty((lanes * self.ROWS, 16), np.int16)
-        self.rows[:] = _FRESH
-
-
-_CONTEXTS = ((0, 0), (1, 15), (17, 255), (273, LAST - 1))
-
-
-def _nibbles(model: _Model, coder: _Coder, at: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-    """Code ids, or decode them if ids is None, by order-0 frequencies."""
-    n = len(at)
-    value = np.zeros(n, np.int64)
-    wide = np.full((n, 17), 1 << _TOP, np.int16)  # a row and the total behind it
-    flat, k = wide.ravel(), np.arange(n) * 17
-    start = model.row_base.take(at)
-    for depth, (base, mask) in enumerate(_CONTEXTS):
-        row = start + (base + (value & mask))
-        freq = model.rows.take(row, axis=0)
-        wide[:, :16] = freq
-        if ids is None:
-            goal, unit = coder.target(at)
-            nib = np.count_nonzero(freq <= goal.astype(np.int16)[:, None], axis=1) - 1
+        bits = min(SLOT_BITS, max(8, (2 * n).bit_length()))
+        self.shift = 40 - bits
+        # guess << 3 | how often it was right, 7 at most
+        self.one, self.two = np.zeros(alphabet, np.int32), np.zeros(1 << bits, np.int32)
+        self.first, self.second = _Mixer(), _Mixer()
+        self.counts, self.total, self.distinct = np.zeros(alphabet, np.int64), 0, 0
+        self.fresh: list[np.ndarray] = []
+        self.waiting = self.step = 0
+        self.rank()
+
+    def rank(self) -> None:
+        """Order-0 frequencies anew: an id not seen yet has its part of the share that new ids had so far."""
+        size = len(self.counts)
+        mass = (1 << _ID) - size
+        if self.total:
+            rest = max(1, self.distinct)
+            freq = self.counts * mass // (self.total + rest)
+            freq += 1 + rest * mass // (self.total + rest) // size
         else:
-            nib, unit = (ids >> (12 - 4 * depth)) & 15, None
-        place = k + nib
-        cum = flat.take(place)
-        coder.narrow(at, cum, flat.take(place + 1) - cum, unit)
-        pull = _PULL.take(nib, axis=0)
-        pull -= freq
-        pull >>= 4
-        pull += freq
-        model.rows[row] = pull
-        value = value << 4 | nib
-    return value
-
-
-def _flag(guess: _Guess, coder: _Coder, at, contexts: tuple, hit: np.ndarray | None) -> np.ndarray:
-    p = guess.probability(at, contexts) << (_TOP - 12)
-    unit = None
-    if hit is None:
-        goal, unit = coder.target(at)
-        hit = goal < p
-    coder.narrow(at, np.where(hit, 0, p), np.where(hit, p, (1 << _TOP) - p), unit)
-    guess.learn(hit)
+            freq = np.full(size, 1 + mass // size, np.int64)
+        self.cum = np.zeros(size + 1, np.int64)
+        np.cumsum(freq, out=self.cum[1:])
+        self.freq = freq.astype(np.uint32)
+        if self.reading:  # the id at the begin of each cell of frequencies
+            self.cells = np.searchsorted(self.cum, np.arange((1 << _ID - _CELL) + 2) << _CELL, "right") - 1
+        self.level = np.frexp(freq.astype(np.float64))[1].astype(np.int8)  # the bit length, exactly
+
+    def learn(self, ids: np.ndarray) -> None:
+        self.fresh.append(ids)
+        self.waiting += len(ids)
+        self.step += 1
+        if self.waiting * 8 >= self.total:
+            self.counts += np.bincount(np.concatenate(self.fresh), minlength=len(self.counts))
+            self.fresh.clear()
+            self.total += self.waiting
+            self.waiting, self.distinct = 0, int(np.count_nonzero(self.counts))
+            self.rank()
+        if self.step < 8 or self.step % 16 == 0:
+            self.first.learn()
+            self.second.learn()
+
+
+def _flag(mixer: _Mixer, coder: _Coder, at, joint: np.ndarray, hit: np.ndarray | None) -> np.ndarray:
+    hit = coder.flag(at, mixer.p.take(joint), hit)
+    mixer.held.append((joint << 1 | hit).astype(np.int16))
     return hit
 
 
+def _order0(model: _Model, coder: _Coder, at: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
+    unit = coder.range[at] >> _U(_ID)
+    if ids is None:
+        goal = np.minimum(coder.target(at, unit), _U(int(model.cum[-1]) - 1)).astype(np.int64)
+        cell = goal >> _CELL
+        ids = model.cells.take(cell)
+        several = np.flatnonzero(model.cells.take(cell + 1) != ids)  # ids share the cell
+        ids[several] = np.searchsorted(model.cum, goal[several], "right") - 1
+    coder.narrow(at, model.cum.take(ids).astype(_U), model.freq.take(ids).astype(_U), unit)
+    return ids
+
+
 def _step(model: _Model, coder: _Coder, n: int, ids: np.ndarray | None) -> np.ndarray:
     at = slice(0, n)
     p, q = model.prev[at], model.before[at]
-    slot1 = model.base[at] + ((p * 40503 >> 5) & (SLOTS - 1))
-    slot2 = model.base[at] + ((p * 40503 + q * 30011 + (q >> 3) >> 2) & (SLOTS - 1))
-    e1, e2 = model.table[0].take(slot1), model.table[1].take(slot2)
+    slot = ((p * 0x9E3779B1 + q * 0x85EBCA6B) & 0xFFFFFFFFFF) >> model.shift
+    e1, e2 = model.one.take(p), model.two.take(slot)
     g1, g2, c1, c2 = e1 >> 3, e2 >> 3, e1 & 7, e2 & 7
-    differ = g1 != g2
-    hit = _flag(model.two, coder, at, (c2 << 3 | c1, c2 << 1 | differ), None if ids is None else ids == g2)
-    out = g2.astype(np.int64)
+    agree = g1 == g2
+    joint = c2 << 9 | c1 << 6 | agree.astype(np.int32) << 5 | model.level.take(g2)
+    hit = _flag(model.first, coder, at, joint, None if ids is None else ids == g2)
+    out = g2.astype(np.int64) if ids is None else ids
     miss = ~hit
-    rest = np.flatnonzero(miss & differ)
+    rest = np.flatnonzero(miss & ~agree)
     if len(rest):
-        h1, k1, k2 = g1[rest], c1[rest], c2[rest]
-        one = _flag(model.one, coder, rest, (k1 << 3 | k2, k1), None if ids is None else ids[rest] == h1)
-        out[rest] = h1
+        guess = g1[rest]
+        joint = c1[rest] << 9 | c2[rest] << 6 | model.level.take(guess)
+        one = _flag(model.second, coder, rest, joint, None if ids is None else ids[rest] == guess)
+        if ids is None:
+            out[rest] = guess
         miss[rest[one]] = False
     miss = np.flatnonzero(miss)
     if len(miss):
-        out[miss] = _nibbles(model, coder, miss, None if ids is None else ids[miss])
+        found = _order0(model, coder, miss, None if ids is None else ids[miss])
+        if ids is None:
+            out[miss] = found
     fresh = (out << 3).astype(np.int32)
-    model.table[0][slot1] = np.where(g1 == out, np.minimum(e1 + 1, fresh | 7), fresh)
-    model.table[1][slot2] = np.where(g2 == out, np.minimum(e2 + 1, fresh | 7), fresh)
+    # a guess that was right often is given up after some misses only
+    model.one[p] = np.where(g1 == out, np.minimum(e1 + 1, fresh | 7), np.where(c1 > 1, e1 - 2, fresh))
+    model.two[slot] = np.where(hit, np.minimum(e2 + 1, fresh | 7), np.where(c2 > 2, e2 - 3, fresh))
     model.before[at] = p
     model.prev[at] = out
+    model.learn(out)
     return out
 
 
+def _lanes(n: int) -> tuple[int, int]:
+    """Lanes of a block of n ids, and the ids of a lane; the last may have fewer, and lanes without ids are none."""
+    steps = max(LANE_IDS, -(-n // LANES))
+    return -(-n // steps), min(steps, n)
+
+
+def _encode_block(ids: np.ndarray) -> bytes:
+    own, listed = ids.astype(np.uint32, copy=False), b""
+    alphabet = int(own.max()) + 1
+    if alphabet > DENSE:
+        known, own = np.unique(own, return_inverse=True)
+        own = own.astype(np.uint32)
+        alphabet, listed = len(known), zlib.compress(known.astype("<u4").tobytes(), 6)
+    lanes, steps = _lanes(len(own))
+    last = len(own) - (lanes - 1) * steps
+    grid = np.zeros((steps, lanes), np.uint32)
+    grid[:, : lanes - 1] = own[: (lanes - 1) * steps].reshape(lanes - 1, steps).T
+    grid[:last, lanes - 1] = own[(lanes - 1) * steps :]
+    model, coder = _Model(lanes, alphabet, len(own), False), _Coder(lanes)
+    for t in range(steps):
+        n = lanes if t < last else lanes - 1
+        _step(model, coder, n, grid[t, :n].astype(np.int64))
+    sizes, out = coder.finish()
+    return struct.pack("<III", lanes, alphabet, len(listed)) + listed + sizes.astype("<u4").tobytes() + out.astype("<u4").tobytes()
+
+
+def _decode_block(data: bytes, count: int) -> np.ndarray:
+    if len(data) < 12:
+        raise ValueError("a block is cut short")
+    lanes, alphabet, listed = struct.unpack_from("<III", data)
+    if (lanes, listed <= len(data)) != (_lanes(count)[0], True) or not alphabet:
+        raise ValueError("a block is damaged")
+    steps, at = _lanes(count)[1], 12 + listed
+    known = None
+    if listed:
+        try:
+            known = np.frombuffer(zlib.decompress(data[12:at]), "<u4")
+        except (zlib.error, ValueError) as e:
+            raise ValueError("a block's list of ids is damaged") from e
+    if len(data) < at + 4 * lanes or alphabet > (1 << 24 if known is None else len(known)):
+        raise ValueError("a block is damaged")
+    sizes = np.frombuffer(data, "<u4", lanes, at).astype(np.int64)
+    at += 4 * lanes
+    if at + 4 * int(sizes.sum()) != len(data) or (sizes < 2).any():
+        raise ValueError("a block is damaged")
+    words_ = np.frombuffer(data, "<u4", -1, at)
+    raw = np.zeros((lanes, int(sizes.max()) + 2), np.uint32)
+    raw[np.arange(raw.shape[1]) < sizes[:, None]] = words_
+    model, coder = _Model(lanes, alphabet, count, True), _Coder(lanes, raw)
+    grid = np.zeros((steps, lanes), np.uint32)
+    last = count - (lanes - 1) * steps
+    for t in range(steps):
+        n = lanes if t < last else lanes - 1
+        grid[t, :n] = _step(model, coder, n, None)
+    out = np.ascontiguousarray(grid.T).ravel()[:count]
+    return out if known is None else known[out]
+
+
 def encode(ids: np.ndarray, block: int = BLOCK_IDS) -> bytes:
-    """A container of the ids (integers below 65536). No ids: a container of no blocks."""
+    """A container of the ids (integers of 32 bits). No ids: a container of no blocks."""
     ids = np.asarray(ids)
-    if len(ids) and (int(ids.min()) < 0 or int(ids.max()) > 0xFFFF):
-        raise ValueError("ids are 0 to 65535")
-    ids = ids.astype(np.uint16, copy=False)
-    blocks = [ids[i : i + block] for i in range(0, len(ids), block)]
+    if len(ids) and (int(ids.min()) < 0 or int(ids.max()) > 0xFFFFFFFF):
+        raise ValueError("ids are integers of 32 bits, not negative")
     heads, bodies = [], []
-    for i in range(0, len(blocks), LANES):
-        own = blocks[i : i + LANES]
-        sizes = np.array([len(b) for b in own])
-        longest = int(sizes[0])
-        grid = np.zeros((longest, len(own)), np.uint16)
-        for k, b in enumerate(own):
-            grid[: len(b), k] = b
-        model, coder = _Model(len(own)), _Coder(len(own), longest * 3 + 4)
-        for t in range(longest):  # only the last block of all may be shorter
-            n = len(own) if sizes[-1] > t else len(own) - 1
-            _step(model, coder, n, grid[t, :n].astype(np.int64))
-        bodies += coder.finish()
-        heads += [(len(b), zlib.crc32(b.astype("<u4").tobytes())) for b in own]
-    head = MAGIC + struct.pack("<I", len(heads)) + b"".join(struct.pack("<III", n, len(d), c) for (n, c), d in zip(heads, bodies, strict=True))
-    return head + b"".join(bodies)
+    for i in range(0, len(ids), block):
+        own = ids[i : i + block]
+        bodies.append(_encode_block(own))
+        heads.append(struct.pack("<III", len(own), len(bodies[-1]), zlib.crc32(own.astype("<u4").tobytes(), zlib.crc32(bodies[-1]))))
+    return MAGIC + struct.pack("<I", len(heads)) + b"".join(heads) + b"".join(bodies)
 
 
 def decode(data: bytes) -> np.ndarray:
@@ -233,35 +336,26 @@ def decode(data: bytes) -> np.ndarray:
     count = struct.unpack_from("<I", data, 4)[0]
     if len(data) < 8 + 12 * count:
         raise ValueError("the block table is cut short")
-    heads = np.frombuffer(data, "<u4", 3 * count, 8).reshape(-1, 3).astype(np.int64)
-    at = 8 + 12 * count + np.concatenate([[0], np.cumsum(heads[:, 1])])
-    if at[-1] != len(data) or (heads[:, 1] % 4).any():
+    heads = np.frombuffer(data, "<u4", 3 * count, 8).reshape(-1, 3).tolist()
+    at, out = 8 + 12 * count, []
+    if at + sum(h[1] for h in heads) != len(data):
         raise ValueError("the blocks do not fill the container")
-    out = []
-    for i in range(0, count, LANES):
-        own = heads[i : i + LANES]
-        longest, wide = int(own[:, 0].max()), int(own[:, 1].max()) // 4
-        raw = np.zeros((len(own), wide + 2), np.uint32)
-        for k in range(len(own)):
-            raw[k, : own[k, 1] // 4] = np.frombuffer(data, "<u4", own[k, 1] // 4, at[i + k])
-        model, coder = _Model(len(own)), _Coder(len(own), data=raw)
-        grid = np.zeros((longest, len(own)), np.uint16)
-        for t in range(longest):
-            n = len(own) if own[-1, 0] > t else len(own) - 1
-            grid[t, :n] = _step(model, coder, n, None)
-        for k in range(len(own)):
-            ids = grid[: own[k, 0], k].astype("<u4")
-            if zlib.crc32(ids.tobytes()) != own[k, 2]:
-                raise ValueError(f"block {i + k} is damaged")
-            out.append(ids.astype(np.uint16))
+    for i, (n, size, crc) in enumerate(heads):
+        ids = _decode_block(data[at : at + size], n) if n else np.zeros(0, np.uint32)
+        if zlib.crc32(ids.astype("<u4").tobytes(), zlib.crc32(data[at : at + size])) != crc:
+            raise ValueError(f"block {i} is damaged")
+        out.append(ids)
+        at += size
     return np.concatenate(out).astype(np.uint32) if out else np.zeros(0, np.uint32)
 
 
 # ---- corpora
 
 END = 2
-#: Ids of a container, about: it ends with the texts that fill it. With those it still fits the lanes, as a rule.
-CONTAINER_IDS = 3_700_000
+#: Ids of a container, about: it ends with the texts that fill it.
+CONTAINER_IDS = BLOCK_IDS - (1 << 18)
+#: Bytes of text that a task encodes, about.
+PART_BYTES = 24 << 20
 
 
 #: A special token of the vocabulary; words that hold "<|" are encoded one by one.
@@ -282,63 +376,198 @@ def _shared_cache(path: str) -> WordCache:
     return WordCache(path)
 
 
+_PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "'<")
+_IS_PUNCTUATION, _IS_ALNUM, _IS_ODD = (np.zeros(256, bool) for _ in range(3))
+_IS_PUNCTUATION[list(_PUNCTUATION)] = True
+_IS_ALNUM[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
+_IS_ODD[[ord("<"), *range(128, 256)]] = True
+
+
 class WordCache:
-    """Encodes texts word by word: this tokenizer's normaliser and splitter never look across ASCII white space, so each
-    distinct word of a batch is encoded once by the library and texts are put together from these."""
+    """Encodes texts word by word: each distinct word is encoded once by the library, and texts are put together from these.
+
+    That needs a tokenizer that never looks across ASCII white space, which a probe tells; texts go to any other whole. Where
+    another probe shows that the tokenizer always parts letters and digits from ASCII punctuation behind them and takes A-Z
+    as a-z, the punctuation at the end of a word counts as a word of its own, and words of ASCII letters are looked up in
+    lower case (words with "<", which special tokens begin with, are left whole). A word of up to 16 bytes is known by its
+    bytes (two numbers), found by a hash and compared in full; longer words are keys of a dictionary. The memory is bounded:
+    a full cache begins anew.
+    """
 
-    def __init__(self, path: str, most: int = 1_000_000):
-        self.path, self.most = path, most
+    PROBE = "Ab cd,\tab  it's 1 2\nÉ<x> ab"
+
+    def __init__(self, path: str, most: int = 1 << 20, most_ids: int = 1 << 22):
+        self.path, self.most, self.most_ids = path, most, most_ids
+        tokenizer = _tokenizer(path)
+        ids = lambda *texts: [i for t in texts for i in tokenizer.encode(t, add_special_tokens=False).ids]
+        self.by_word = ids(self.PROBE) == ids(*self.PROBE.split())
+        tails = [chr(c) for c in _PUNCTUATION]
+        tails += [x + y for x in tails for y in tails]
+        self.parts = self.by_word and all(ids(w.upper() + t, f"{w} {t}") == ids(w, t, w, t) for t in tails for w in ("ab", "it's", "x1"))
+        vocabulary = tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids that end a run of letters
+        self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.mask = 4 * most - 1
         self._clear()
 
     def _clear(self):
-        self.keys, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint16)
-
-    def _encode(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The number of ids of each word, and all ids. Words are handed over in chunks, apart by a special token."""
+        self.slot = np.full(self.mask + 1, -1, np.int32)  # by hash: the entry
+        # an entry: the word's bytes, its place among the ids, its number of ids
+        self.low, self.high = np.zeros(self.most, np.uint64), np.zeros(self.most, np.uint64)
+        self.bytes, self.start, self.size = np.zeros(self.most, np.uint8), np.zeros(self.most, np.int32), np.zeros(self.most, np.int32)
+        self.n = 0
+        self.ids, self.n_ids = np.zeros(1 << 16, np.uint32), 1  # the first is for the end id
+        self.long: dict[bytes, tuple[int, int]] = {}
+        self.long_bytes = 0
+
+    def _encode(self, fresh: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """An order of the words, and in that order the number of ids of each and all ids."""
+        letters = [w.isalpha() for w in fresh]
+        order, sizes, flats = [], [], []
+        for kind, run in ((True, self._letters), (False, self._marked)):
+            keys = [k for k, x in enumerate(letters) if x is kind]
+            # few words at a time: the library's results take far more memory than the ids in them
+            for i in range(0, len(keys), 4000):
+                size, flat = run([fresh[k] for k in keys[i : i + 4000]])
+                sizes.append(size)
+                flats.append(flat)
+            order += keys
+        return order, np.concatenate(sizes), np.concatenate(flats)
+
+    def _letters(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of letters only, apart by spaces; the last id of each tells where it ends. If that does not add up: as others."""
+        flat = np.array(_tokenizer(self.path).encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.last[flat])
+        if len(ends) != len(fresh) or ends[-1] != len(flat) - 1:
+            return self._marked(fresh)
+        return np.diff(ends, prepend=-1), flat
+
+    def _marked(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Any words, apart by a special token."""
         tokenizer = _tokenizer(self.path)
         mark = tokenizer.token_to_id(MARK)
         if mark is None or any("<|" in w for w in fresh):
             found = [x.ids for x in tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
             size = np.array([len(x) for x in found], np.int64)
-            return size, np.fromiter((i for x in found for i in x), np.uint16, int(size.sum()))
-        chunks = [MARK.join(fresh[i : i + 2000]) for i in range(0, len(fresh), 2000)]
-        # few chunks at a time: the library's results take far more memory than the ids in them
-        found = (x.ids for i in range(0, len(chunks), 4) for x in tokenizer.encode_batch_fast(chunks[i : i + 4], add_special_tokens=False))
-        flat = np.concatenate([np.array([*ids, mark], np.uint16) for ids in found])
+            return size, np.fromiter((i for x in found for i in x), np.uint32, int(size.sum()))
+        flat = np.array([*tokenizer.encode_batch_fast([MARK.join(fresh)], add_special_tokens=False)[0].ids, mark], np.uint32)
         ends = np.flatnonzero(flat == mark)
         return np.diff(ends, prepend=-1) - 1, flat[flat != mark]
 
+    def _store(self, flat: np.ndarray) -> int:
+        """Room for more ids; where they begin."""
+        at = self.n_ids
+        if at + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(flat)), np.uint32)])
+        self.ids[at : at + len(flat)] = flat
+        self.n_ids += len(flat)
+        return at
+
+    def _find(self, h, low, high, n) -> np.ndarray:
+        """The entry of each word, or -1."""
+        out = np.full(len(h), -1, np.int64)
+        open_, at = np.arange(len(h)), (h >> np.uint64(20)).astype(np.int64) & self.mask
+        while len(open_):
+            e = self.slot.take(at)
+            same = (e >= 0) & (self.low.take(e) == low[open_]) & (self.high.take(e) == high[open_]) & (self.bytes.take(e) == n[open_])
+            out[open_[same]] = e[same]
+            on = np.flatnonzero(~same & (e >= 0))
+            open_, at = open_[on], (at[on] + 1) & self.mask
+        return out
+
+    def _add(self, h, low, high, n, words_: list[str]) -> None:
+        """New, distinct words."""
+        order, size, flat = self._encode(words_)
+        h, low, high, n = h[order], low[order], high[order], n[order]
+        at, e = self._store(flat), np.arange(self.n, self.n + len(h))
+        self.low[e], self.high[e], self.bytes[e], self.size[e] = low, high, n, size
+        self.start[e] = at + np.cumsum(size) - size
+        self.n += len(h)
+        slot = (h >> np.uint64(20)).astype(np.int64) & self.mask
+        while len(e):
+            free = self.slot[slot] < 0
+            self.slot[slot[free]] = e[free]  # of several that want one slot the last has it
+            on = np.flatnonzero(self.slot[slot] != e)
+            e, slot = e[on], (slot[on] + 1) & self.mask
+
+    def _units(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Starts and ends of words and split-off punctuation, how many lie before each text, and the bytes to look them up by."""
+        s, e, first = words(buf, off)
+        if not self.parts or not len(s):
+            return s, e, first, buf
+        at = np.arange(len(buf), dtype=np.int32)
+        before = np.maximum.accumulate(np.where(_IS_PUNCTUATION[buf], -1, at))[e - 1] + 1  # behind the last other byte
+        odd = np.concatenate([[0], np.cumsum(_IS_ODD[buf], dtype=np.int32)])
+        plain = odd[e] == odd[s]
+        cut = (before > s) & (before < e)
+        cut &= _IS_ALNUM[buf[before - 1]]
+        if (buf == ord("<")).any():
+            cut &= plain
+        extra = np.concatenate([[0], np.cumsum(cut)])
+        place = np.arange(len(s)) + extra[:-1]
+        out_s, out_e = np.empty(len(s) + extra[-1], np.int64), np.empty(len(s) + extra[-1], np.int64)
+        out_s[place], out_e[place] = s, np.where(cut, before, e)
+        tail = place[cut] + 1
+        out_s[tail], out_e[tail] = before[cut], e[cut]
+        # lower case, but in words with other letters
+        low = LOWER[buf]
+        if odd[-1]:
+            inside = np.zeros(len(buf) + 1, np.int8)
+            inside[s[~plain]] = 1
+            inside[e[~plain]] -= 1  # where the next text's word begins at once, both hold
+            low = np.where(np.cumsum(inside, dtype=np.int8)[:-1] > 0, buf, low)
+        return out_s, out_e, first + extra[first], low
+
     def texts(self, buf: np.ndarray, off: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts with `end` after each, and each text's number of ids."""
-        s, e, first = words(buf, off)
-        h = word_hashes(buf, s, e)
-        keys, seen, which = np.unique(h, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, keys)
-        new = self.keys[np.minimum(at, len(self.keys) - 1)] != keys if len(self.keys) else np.ones(len(keys), bool)
-        if new.any():
-            if len(self.keys) + int(new.sum()) > self.most:
-                self._clear()
-                new[:] = True
+        if not self.by_word:
             raw = buf.tobytes()
-            size, flat = self._encode([raw[a:z].decode("utf-8", "replace") for a, z in zip(s[seen[new]].tolist(), e[seen[new]].tolist(), strict=True)])
-            start = len(self.ids) + np.cumsum(size) - size
-            at = np.searchsorted(self.keys, keys[new])
-            self.start, self.size = np.insert(self.start, at, start), np.insert(self.size, at, size)
-            self.keys, self.ids = np.insert(self.keys, at, keys[new]), np.concatenate([self.ids, flat])
-        at = np.searchsorted(self.keys, keys)
-        start, size = self.start[at][which], self.size[at][which]
+            found = [x.ids for x in _tokenizer(self.path).encode_batch_fast([raw[a:z].decode("utf-8", "replace") for a, z in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], add_special_tokens=False)]
+            counts = np.array([len(x) + 1 for x in found], np.int64)
+            return np.fromiter((i for x in found for i in (*x, end)), np.uint32, int(counts.sum())), counts
+        s, e, first, buf = self._units(buf, off)
+        raw, n = None, e - s
+        if self.n + len(s) > self.most or self.n_ids > self.most_ids or self.long_bytes > self.most_ids:
+            self._clear()  # with this batch's words it might be too full
+        # behind the words of each text a place for the end id
         n_docs = len(off) - 1
-        before = np.concatenate([[0], np.cumsum(size)])
-        counts = before[first[1:]] - before[first[:-1]] + 1
-        out = np.empty(int(counts.sum()), np.uint16)
-        out[np.cumsum(counts) - 1] = end
-        # the words' ids, moved by the end ids of the texts before
-        doc = np.repeat(np.arange(n_docs), np.diff(first))
-        place = before[:-1] + doc
-        ramp = np.arange(int(size.sum())) - np.repeat(before[:-1], size)
-        out[np.repeat(place, size) + ramp] = self.ids[np.repeat(start, size) + ramp]
-        return out, counts
+        place = np.arange(len(s)) + np.repeat(np.arange(n_docs), np.diff(first))
+        start, size = np.zeros(len(s) + n_docs, np.int32), np.ones(len(s) + n_docs, np.int32)
+        self.ids[0] = end
+        short = np.flatnonzero(n <= 16)
+        if len(short):
+            view, own, m = eights(buf), s[short], n[short]
+            low = view[own] & KEEP[np.minimum(m, 8)]
+            high = np.zeros(len(own), np.uint64)
+            wide = np.flatnonzero(m > 8)
+            high[wide] = view[own[wide] + 8] & KEEP[m[wide] - 8]
+            h = mix(mix(low ^ m.astype(np.uint64) << np.uint64(59)) ^ high)
+            at = self._find(h, low, high, m)
+            new = np.flatnonzero(at < 0)
+            if len(new):
+                raw = buf.tobytes()
+                where: dict[bytes, int] = {}
+                for k, a, z in zip(new.tolist(), own[new].tolist(), (own[new] + m[new]).tolist(), strict=True):
+                    where.setdefault(raw[a:z], k)
+                got = list(where.values())
+                self._add(h[got], low[got], high[got], m[got], [w.decode("utf-8", "replace") for w in where])
+                at[new] = self._find(h[new], low[new], high[new], m[new])
+            start[place[short]], size[place[short]] = self.start[at], self.size[at]
+        if len(short) < len(s):
+            raw = buf.tobytes() if raw is None else raw
+            others = np.flatnonzero(n > 16)
+            found = [raw[a:z] for a, z in zip(s[others].tolist(), e[others].tolist(), strict=True)]
+            fresh = [w for w in dict.fromkeys(found) if w not in self.long]
+            if fresh:
+                order, sizes, flat = self._encode([w.decode("utf-8", "replace") for w in fresh])
+                at = self._store(flat) + np.cumsum(sizes) - sizes
+                self.long.update(zip([fresh[k] for k in order], zip(at.tolist(), sizes.tolist(), strict=True), strict=True))
+                self.long_bytes += sum(map(len, fresh))
+            start[place[others]], size[place[others]] = np.array([self.long[w] for w in found], np.int64).reshape(-1, 2).T
+        total = np.zeros(len(size) + 1, np.int32)  # a batch holds far fewer ids than 2**31
+        np.cumsum(size, out=total[1:])
+        counts = np.diff(total[first + np.arange(n_docs + 1)]).astype(np.int64)
+        return self.ids.take(np.repeat(start - total[:-1], size) + np.arange(total[-1], dtype=np.int32)), counts
 
 
 _CONTAINERS = "part int, seq int, n long, docs array<long>, sizes array<long>, data binary"
@@ -346,12 +575,14 @@ _CONTAINERS = "part int, seq int, n long, docs array<long>, sizes array<long>, d
 
 def write_tokens(docs: DataFrame, path: str, end: int = END, order_by: tuple[str, ...] = ("doc_id",), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every text with the tokenizer file at `path` and store containers of ids in order of order_by; the table of
-    containers (part, seq, n, docs, sizes, data) as stored. Range partitions keep the order; ties are ordered by id."""
+    containers (part, seq, n, docs, sizes, data) as stored. Range partitions keep the order; ties are ordered by id, then as
+    they lie in docs, so rows of one key may fill several partitions."""
     spark = docs.sparkSession
-    parts = max(1, -(-text_bytes(docs, text_col) // (24 << 20)))
+    parts = max(1, -(-text_bytes(docs, text_col) // PART_BYTES))
     own = docs.select(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order_by)], F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    keys = [f"o{i}" for i in range(len(order_by))] + ["doc"]
-    own = own.repartitionByRange(parts, *keys).sortWithinPartitions(*keys, "text").select(F.spark_partition_id().alias("part"), "doc", "text")
+    keys = [*(f"o{i}" for i in range(len(order_by))), "doc", "row"]
+    own = own.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    own = own.select(F.spark_partition_id().alias("part"), "doc", "text")
 
     def run(batches):
         cache_, seq, part = _shared_cache(path), 0, 0
@@ -359,81 +590,81 @@ def write_tokens(docs: DataFrame, path: str, end: int = END, order_by: tuple[str
         total = 0
 
         def container():
-            data = encode(np.concatenate(held[0]))
-            row = [[part], [seq], [total], [[x for c in held[1] for x in c]], [[x for c in held[2] for x in c]], [data]]
+            ids, docs_, sizes = np.concatenate(held[0]), pa.chunked_array(held[1], pa.int64()).combine_chunks(), np.concatenate(held[2])
             for x in held:
                 x.clear()
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], ["part", "seq", "n", "docs", "sizes", "data"])
-
-        for b in batches:
-            part = b.column(0)[0].as_py() if len(b) else part
-            buf, off = buffers(b.column(2))
-            ids = b.column(1).to_pylist()
-            i = 0
-            while i < len(ids):
-                j = max(i + 1, int(np.searchsorted(off, off[i] + (1 << 19), "right")) - 1)
-                j = min(j, len(ids))
-                out, counts = cache_.texts(buf[off[i] : off[j]], off[i : j + 1] - off[i], end)
-                held[0].append(out)
-                held[1].append(ids[i:j])
-                held[2].append(counts.tolist())
-                total += len(out)
-                i = j
-                if total >= CONTAINER_IDS:
-                    yield container()
-                    total, seq = 0, seq + 1
-        if total:
-            yield container()
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(docs_)], pa.int32()), v) for v in (docs_, pa.array(sizes, pa.int64()))]
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([total], pa.int64()), *lists, pa.array([encode(ids)], pa.binary())], ["part", "seq", "n", "docs", "sizes", "data"])
+
+        try:
+            for b in batches:
+                part = b.column(0)[0].as_py() if len(b) else part
+                buf, off = buffers(b.column(2))
+                for i, j in in_groups(off, 1 << 19):
+                    out, counts = cache_.texts(buf[off[i] : off[j]], off[i : j + 1] - off[i], end)
+                    held[0].append(out)
+                    held[1].append(b.column(1).slice(i, j - i))
+                    held[2].append(counts)
+                    total += len(out)
+                    if total >= CONTAINER_IDS:
+                        yield container()
+                        total, seq = 0, seq + 1
+            if total:
+                yield container()
+        finally:
+            release()
 
     with small_batches(spark):
         return saved(spark, own.mapInArrow(run, _CONTAINERS), "tokens", codec="none")
 
 
 _INDEX = "doc_id long, start long, n_tokens long, ids_crc32 long"
+#: Partitions whose sums are added up together.
+_RUN = 4096
 
 
 def read_tokens(spark: SparkSession, stored: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the decoded containers. start: ids of all documents before."""
-    totals = {r["part"]: r["n"] for r in stored.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # one row a partition
-    rows, at = [], 0
-    for part in sorted(totals):
-        rows.append((part, at))
-        at += totals[part]
-    parts = spark.createDataFrame(rows, "part int, base long")
-    from pyspark.sql import Window
-
-    # containers of a part: a part holds a bounded amount of text
-    within = F.sum("n").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    starts = stored.select("part", "seq", "n").select("part", "seq", within.alias("within")).join(F.broadcast(parts), "part").select("part", "seq", (F.col("base") + F.col("within")).alias("start"))
+    # prefix sums in two levels: over runs of partitions, then within a run (_RUN partitions hold a bounded number of containers)
+    sizes = saved(spark, stored.select(F.floor(F.col("part") / _RUN).alias("run"), "part", "seq", "n"), "token-sizes")
+    runs = sizes.groupBy("run").agg(F.sum("n").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("run").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    runs = runs.select("run", before.alias("base"))  # a row for each 100 GB of text
+    within = F.sum("n").over(Window.partitionBy("run").orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    starts = sizes.withColumn("within", within).join(runs, "run").select("part", "seq", (F.col("base") + F.col("within")).alias("start"))
+    bounded = F.broadcast(starts) if sizes.count() <= BROADCAST_ROWS else starts
 
     def run(batches):
-        for b in batches:
-            for k in range(len(b)):
-                ids = decode(b.column(3)[k].as_py())
-                docs, sizes = b.column(1)[k].as_py(), np.array(b.column(2)[k].as_py(), np.int64)
-                if sizes.sum() != len(ids):
-                    raise ValueError("a container does not hold its documents")
-                ends = np.cumsum(sizes)
-                crc = [zlib.crc32(ids[e - n : e].tobytes()) for n, e in zip(sizes, ends, strict=True)]
-                base = b.column(0)[k].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(base + ends - sizes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    bounded = F.broadcast(starts) if len(totals) <= 100_000 else starts
+        try:
+            for b in batches:
+                for k in range(len(b)):
+                    ids = decode(b.column(3)[k].as_py())
+                    sizes = b.column(2)[k].values.to_numpy()
+                    if sizes.sum() != len(ids):
+                        raise ValueError("a container does not hold its documents")
+                    ends = np.cumsum(sizes)
+                    crc = [zlib.crc32(ids[e - n : e]) for n, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
+                    base = b.column(0)[k].as_py()
+                    yield pa.RecordBatch.from_arrays([b.column(1)[k].values, pa.array(base + ends - sizes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+        finally:
+            release()
+
     return stored.join(bounded, ["part", "seq"]).select("start", "docs", "sizes", "data").mapInArrow(run, _INDEX)
 
 
+def default_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def encode_corpus(spark: SparkSession, docs: DataFrame, order_by: tuple[str, ...] = ("doc_id",), tokenizer: str | None = None) -> DataFrame:
     """Write the ids of all documents and read them back (see read_tokens).
 
-    A null or empty text has the end id alone. Rows that repeat an id are documents of their own, in order of their text;
-    rows without an id come first and keep a null id. An empty table gives no rows.
+    A null or empty text has the end id alone. Rows that repeat an id are documents of their own, in the order in which they
+    lie in docs; rows without an id come first and keep a null id. An empty table gives no rows.
     """
-    if tokenizer is None:
-        import public_tokenizers
-
-        tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    return read_tokens(spark, write_tokens(docs, tokenizer, order_by=order_by))
+    return read_tokens(spark, write_tokens(docs, tokenizer or default_tokenizer(), order_by=order_by))
 
 
 def op2_token_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
