@@ -2,8 +2,8 @@
 
 A mask such as 1101011 covers a run of words and ignores those at its zeros, so a passage with a few words replaced still
 shares seeds with its source at the places where the replaced words fall on zeros. The seeds of the benchmark are joined
-to the seeds of every position of every document; around each hit the two texts are laid over each other along the hit's
-diagonal and the overlap is verified word by word.
+to the seeds of every position of every document; hits of one diagonal become one place, and there the two texts are laid
+over each other and the overlap is verified word by word. The masks are chosen so that every overlap leaves a seed.
 """
 
 from __future__ import annotations
@@ -14,16 +14,18 @@ from operator import and_, or_
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import BROADCAST_ROWS, saved, table
 
-#: Weight 6 each, at most 11 words wide. Two masks: one dense, one with its zeros elsewhere.
-MASKS = ("1101011001", "1011100011")
-#: Share of an item's words that must agree along one diagonal.
+#: Share of the words of a run that must agree along one diagonal.
 OVERLAP = 0.8
 #: Least item words of a quoted part, most words by which a neighbouring diagonal may be off, its least run of agreeing words.
 PART, SHIFT, RUN = 13, 2, 3
-#: Items shorter than the masks are compared as one whole seed.
-SEED_ROWS = 2_000_000
+#: Windows of PART to MOST words suffice: a longer one can be cut into such, one of which agrees as much as the whole.
+MOST = 2 * PART - 1
+#: Most seeds (24 bytes each) and most bytes of item texts that are broadcast; beyond, the joins shuffle.
+SEED_ROWS, ITEM_BYTES = 2_000_000, 32 << 20
+#: Diagonals that begin in so many words of a document are verified together.
+SPAN = 8192
 
 
 def _words(text):
@@ -38,12 +40,6 @@ def _seeds(hashes, size, mask: str, number: int):
     return F.transform(places, lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(number), *[F.get(hashes, i + j) for j in ones]).alias("seed")))
 
 
-def _runs(n: int):
-    """array<struct<at, seed>>: the hash of every run of n words."""
-    places = F.when(F.size("words") >= n, F.sequence(F.lit(0), F.size("words") - n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.struct(i.alias("at"), F.xxhash64(F.array_join(F.slice("words", i + 1, F.lit(n)), " ")).alias("seed")))
-
-
 def _all_seeds(df: DataFrame, masks: tuple[str, ...], only: tuple[str, ...] | None = None) -> DataFrame:
     """Seeds of the masks, or of some of them under the numbers they have among all."""
     # the outer transform binds the hashes to a variable: a plain column would be inlined and hashed anew at every position
@@ -52,129 +48,111 @@ def _all_seeds(df: DataFrame, masks: tuple[str, ...], only: tuple[str, ...] | No
     return df.withColumn("seeds", F.element_at(seeds, 1))
 
 
-def seed_masks(masks: tuple[str, ...]) -> tuple[str, ...]:
-    for m in masks:
-        if not m or set(m) - {"0", "1"} or m[0] != "1" or m[-1] != "1":
-            raise ValueError(f"a mask is a string of 0 and 1 that begins and ends with 1, not {m!r}")
-    return tuple(masks)
-
-
-def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, overlap: float = OVERLAP, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, at, n_item, n_same): verified overlaps; at is the document's word where the item would begin.
-
-    n_same of the item's n_item words agree with the document's at the same places; n_same >= overlap * n_item. Words under
-    a hit that lie outside the document count as different. Null and empty texts have no seeds. Items with fewer words than
-    the widest mask have no seeds of that mask; items shorter than all masks are found by their whole word sequence.
-    Several places of one pair are all listed. Rows that repeat an id count as one. Rows without an id are left out.
-    """
-    masks = seed_masks(masks)
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).alias("item_id"), _words(F.col(item_text_col)).alias("words")).where("item_id is not null")
-    least = min(map(len, masks))
-    own = _all_seeds(items, masks).select("item_id", F.col("words").alias("item"), F.explode("seeds").alias("s")).select("item_id", "item", F.col("s.at").alias("item_at"), "s.seed")
-    short = items.where((F.size("words") < least) & (F.size("words") > 0))
-    test = saved(spark, own, "decon-seeds")
-    known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), _words(F.col(text_col)).alias("words"))
-    # outer: an inner explode would be given a filter that computes all seeds a second time
-    seeded = _all_seeds(known, masks).select("doc_id", "words", F.explode_outer("seeds").alias("s")).select("doc_id", "words", F.col("s.at").alias("at"), "s.seed")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        first = F.greatest(F.col("start"), F.lit(0))
-        ahead = F.greatest(-F.col("start"), F.lit(0))  # item words before the document begins
-        there = F.slice(F.col("words"), first + 1, F.size("item") - ahead)
-        here = F.slice(F.col("item"), ahead + 1, F.size("item"))
-        same = F.size(F.filter(F.zip_with(here, there, lambda a, b: a == b), lambda x: x))
-        out = pairs.select("doc_id", "item_id", F.col("start").alias("at"), F.size("item").alias("n_item"), same.alias("n_same"))
-        return out.where(F.col("n_same") >= F.lit(overlap) * F.col("n_item")).distinct()
-
-    if test.count() <= SEED_ROWS:  # about 100 bytes a row: one copy of each item's words a seed is kept out of it
-        slim = test.select("item_id", "item_at", "seed")
-        hits = seeded.join(F.broadcast(slim), "seed").select("doc_id", "words", "item_id", (F.col("at") - F.col("item_at")).alias("start"))
-        hits = hits.join(F.broadcast(items.select("item_id", F.col("words").alias("item"))), "item_id")
-    else:
-        places = seeded.select("doc_id", "at", "seed").join(test.select("item_id", "item_at", "seed"), "seed")
-        places = saved(spark, places.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("start")).distinct(), "decon-places")
-        hits = places.join(known, "doc_id").join(items.select("item_id", F.col("words").alias("item")), "item_id")
-    found = verified(hits)
-    if short.limit(1).count():
-        sizes = [r[0] for r in short.select(F.size("words").alias("n")).distinct().collect()]  # fewer than the masks are wide
-        whole = short.select("item_id", F.col("words").alias("item"), F.xxhash64(F.array_join("words", " ")).alias("seed"))
-        runs = F.concat(*[_runs(n) for n in sizes])
-        at = known.select("doc_id", "words", F.explode_outer(runs).alias("s")).select("doc_id", "words", F.col("s.at").alias("start"), "s.seed").join(whole, "seed")
-        found = found.unionByName(verified(at))
-    return found
-
-
 def part_masks(n: int) -> tuple[str, ...]:
     """Masks for items of n words: each way to replace words within OVERLAP leaves a seed of one of them.
 
-    Up to 12 words that holds for the whole item, beyond for every window of PART to 2 * PART - 1 words.
+    Up to 12 words that holds for the whole item, beyond for every window of PART to MOST words.
     """
     if n < 4:
         return ("1" * n,)
     return ("1111", "1110111", *{5: ("11011", "11101", "10111"), 6: ("111011", "110111"), 10: ("1110110111",)}.get(n, ()))
 
 
-def quoted(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id), distinct: documents that hold an item or a part of it, of at least PART words (the item's, if fewer).
+def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    return benchmark.select(F.col(item_col).alias("item_id"), _words(F.col(text_col)).alias("item")).where("item_id is not null and size(item) > 0").distinct()
 
-    Of some run of that many item words or more, OVERLAP must agree. A word agrees if the document has it at its place on the
-    hit's diagonal, or in a run of RUN agreeing words on a diagonal at most SHIFT away (words inserted or left out). Windows of
-    PART to 2 * PART - 1 words suffice: a longer one can be cut into such, one of which agrees as much as the whole.
-    """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).alias("item_id"), _words(F.col(item_text_col)).alias("item")).where("item_id is not null and size(item) > 0")
-    most = 2 * PART - 1
-    lengths = [r[0] for r in items.select(F.least(F.size("item"), F.lit(most)).alias("n")).distinct().collect()]  # at most `most` numbers
+
+def _places(known: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, n_item, start), distinct: diagonals that hold a seed. known: (doc_id, words); no text is carried."""
+    spark = known.sparkSession
+    lengths = [r[0] for r in items.select(F.least(F.size("item"), F.lit(MOST)).alias("n")).distinct().collect()]  # at most MOST numbers
     of = {n: part_masks(n) for n in sorted(lengths)}
-    masks = tuple(dict.fromkeys(m for n in of for m in of[n]))
-    if not masks:
-        return docs.select(F.col(id_col).alias("doc_id")).crossJoin(benchmark.select(F.col(item_col).alias("item_id"))).where("false")
-    own = []
+    masks = tuple(dict.fromkeys(m for n in of for m in of[n])) or ("1",)
+    test = None
     for n, mine in of.items():
-        some = items.where(F.least(F.size("item"), F.lit(most)) == n).withColumnRenamed("item", "words")
-        own.append(_all_seeds(some, masks, mine).select("item_id", F.explode("seeds").alias("s")).select("item_id", F.col("s.at").alias("item_at"), "s.seed"))
-    test = own[0]
-    for x in own[1:]:
-        test = test.unionByName(x)
-    test = saved(spark, test.distinct(), "decon-parts")
-    known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), _words(F.col(text_col)).alias("words"))
-    seeded = _all_seeds(known, masks).select("doc_id", "words", F.explode_outer("seeds").alias("s")).select("doc_id", "words", F.col("s.at").alias("at"), "s.seed")
-    start = (F.col("at") - F.col("item_at")).alias("start")
-    if test.count() <= SEED_ROWS:
-        hits = seeded.join(F.broadcast(test), "seed").select("doc_id", "words", "item_id", "item_at", start).join(F.broadcast(items), "item_id")
-    else:
-        places = seeded.select("doc_id", "at", "seed").join(test, "seed").select("doc_id", "item_id", "item_at", start).distinct()
-        hits = saved(spark, places, "decon-part-places").join(known, "doc_id").join(items, "item_id")
-
-    # the item's words around the hit; every window that holds the hit lies within
-    first = F.greatest(F.col("item_at") - most, F.lit(0))
-    last = F.least(F.col("item_at") + most + max(map(len, masks)), F.size("item")) - 1
-
-    def agree(shift: int):
-        one = F.transform(F.sequence(first, last), lambda j: F.coalesce(F.get("item", j) == F.get("words", F.col("start") + j + shift), F.lit(False)))
-        if not shift:
-            return one
-        # true where a run of RUN agreeing words covers the place
-        at = lambda m, j: F.coalesce(F.get(m, j), F.lit(False))
-        covers = lambda m, i, b: reduce(and_, [at(m, i + b + k) for k in range(RUN)])
-        inside = lambda m: F.transform(m, lambda _, i: reduce(or_, [covers(m, i, -b) for b in range(RUN)]))
-        return F.element_at(F.transform(F.array(one), inside), 1)
-
-    lanes = [agree(s) for s in range(-SHIFT, SHIFT + 1)]
-    same = reduce(lambda x, y: F.zip_with(x, y, lambda a, b: a | b), lanes)
+        some = items.where(F.least(F.size("item"), F.lit(MOST)) == n).withColumnRenamed("item", "words")
+        some = _all_seeds(some, masks, mine).select("item_id", F.size("words").alias("n_item"), F.explode("seeds").alias("s")).select("item_id", "n_item", F.col("s.at").alias("item_at"), "s.seed")
+        test = some if test is None else test.unionByName(some)
+    if test is None:
+        test = items.select("item_id", F.size("item").alias("n_item"), F.lit(0).alias("item_at"), F.lit(0).cast("long").alias("seed"))
+    test = saved(spark, test.distinct(), "decon-seeds")
+    # outer: an inner explode would be given a filter that computes all seeds a second time
+    seeded = _all_seeds(known, masks).select("doc_id", F.explode_outer("seeds").alias("s")).select("doc_id", F.col("s.at").alias("at"), "s.seed")
+    hits = seeded.join(F.broadcast(test) if test.count() <= SEED_ROWS else test, "seed")
+    return saved(spark, hits.select("doc_id", "item_id", "n_item", (F.col("at") - F.col("item_at")).alias("start")).distinct(), "decon-places")
+
+
+def _laid(known: DataFrame, items: DataFrame, places: DataFrame, item_bytes: int) -> DataFrame:
+    """Places with the item's words and the document's words beside them: piece begins at the document's word `first`."""
+    near = places.groupBy("doc_id", F.floor(F.col("start") / SPAN).alias("span")).agg(F.collect_list(F.struct("item_id", "n_item", "start")).alias("at")).drop("span")
+    joined = known.join(F.broadcast(near) if places.count() <= BROADCAST_ROWS else near, "doc_id")
+    first = lambda x: F.greatest(x["start"] - SHIFT, F.lit(0))
+    piece = lambda w, x: F.slice(w, first(x) + 1, F.greatest(x["start"] + x["n_item"] + SHIFT - first(x), F.lit(0)))
+    # the words are bound to a variable: a plain column would be split anew for every place
+    cut = F.transform(F.array("words"), lambda w: F.transform("at", lambda x: F.struct(x["item_id"].alias("item_id"), x["start"].alias("start"), first(x).alias("first"), piece(w, x).alias("piece"))))
+    # outer: see above
+    out = joined.select("doc_id", F.explode_outer(F.element_at(cut, 1)).alias("x")).select("doc_id", "x.item_id", "x.start", "x.first", "x.piece")
+    return out.join(F.broadcast(items) if item_bytes <= ITEM_BYTES else items, "item_id")
+
+
+def _agree(shift: int):
+    """array<boolean> over the item's words: the document has the word at its place on the diagonal `shift` words on. Off the
+    diagonal itself only runs of RUN agreeing words count."""
+    begin = F.col("start") - F.col("first") + shift
+    one = F.transform("item", lambda w, j: F.coalesce(F.when(begin + j >= 0, F.get("piece", begin + j) == w), F.lit(False)))
+    if not shift:
+        return one
+    at = lambda m, j: F.coalesce(F.when(j >= 0, F.get(m, j)), F.lit(False))
+    covers = lambda m, i, b: reduce(and_, [at(m, i + b + k) for k in range(RUN)])
+    inside = lambda m: F.transform(m, lambda _, i: reduce(or_, [covers(m, i, -b) for b in range(RUN)]))
+    return F.element_at(F.transform(F.array(one), inside), 1)
+
+
+def _holds(same):
+    """Whether of some run of least(PART, the item's) words or more OVERLAP agree; same: array<boolean>."""
     least = F.least(F.size("item"), F.lit(PART))
-    # a window is least .. most words from i on; counted by a fold that keeps the words and whether some length did
     state = F.struct(F.lit(0).alias("n"), F.lit(0).alias("k"), F.lit(False).alias("ok"))
 
     def step(x, w):
         n, k = x["n"] + 1, x["k"] + w.cast("int")
-        return F.struct(n.alias("n"), k.alias("k"), (x["ok"] | ((n >= F.col("least")) & (k >= F.lit(OVERLAP) * n))).alias("ok"))
+        return F.struct(n.alias("n"), k.alias("k"), (x["ok"] | ((n >= least) & (k >= F.lit(OVERLAP) * n))).alias("ok"))
 
     # bound to a variable by the outer exists: a plain column would be computed anew for every window
-    fits = lambda m: F.exists(F.sequence(F.lit(1), F.size(m)), lambda i: F.aggregate(F.slice(m, i, F.lit(most)), state, step)["ok"])
-    found = hits.withColumn("least", least)
-    return found.where(F.exists(F.array(same), fits)).select("doc_id", "item_id").distinct()
+    fits = lambda m: F.exists(F.sequence(F.lit(1), F.size(m)), lambda i: F.aggregate(F.slice(m, i, F.lit(MOST)), state, step)["ok"])
+    return F.exists(F.array(same), fits)
+
+
+def _candidates(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    items = saved(docs.sparkSession, _items(benchmark, item_col, item_text_col), "decon-items")
+    known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), _words(F.col(text_col)).alias("words"))
+    size = items.agg(F.sum(F.octet_length(F.array_join("item", " ")))).first()[0] or 0
+    return _laid(known, items, _places(known, items), size)
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(doc_id, item_id, at, n_item, n_same): verified overlaps; at is the document's word where the item would begin.
+
+    The two texts are laid over each other along a diagonal; of some run of PART item words or more (of the whole item, if it
+    is shorter) OVERLAP must agree. n_same of the item's n_item words agree in all on that diagonal. Words that lie outside
+    the document do not agree. The masks leave a seed in every such overlap, so none is lost: the result is that of a
+    comparison along all diagonals. Several places of one pair are all listed. Null and empty texts and items are in no
+    overlap. Rows that repeat an id, of documents or items, count as one. Rows without an id are left out.
+    """
+    found = _candidates(docs, benchmark, id_col, text_col, item_col, item_text_col).withColumn("same", _agree(0))
+    found = found.where(_holds(F.col("same")))
+    return found.select("doc_id", "item_id", F.col("start").alias("at"), F.size("item").alias("n_item"), F.size(F.filter("same", lambda x: x)).alias("n_same")).distinct()
+
+
+def quoted(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(doc_id, item_id), distinct: documents that hold an item or a part of it, also with words inserted or left out.
+
+    As overlaps, but a word also agrees if the document has it in a run of RUN agreeing words on a diagonal at most SHIFT
+    away from the hit's.
+    """
+    found = _candidates(docs, benchmark, id_col, text_col, item_col, item_text_col)
+    lanes = [_agree(s) for s in range(-SHIFT, SHIFT + 1)]
+    same = reduce(lambda x, y: F.zip_with(x, y, lambda a, b: a | b), lanes)
+    return found.where(_holds(same)).select("doc_id", "item_id").distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -183,10 +161,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     return found.groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids")).select("doc_id", F.size("item_ids").cast("long").alias("n_items"), "item_ids")
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns, that hold no item and no part of one."""
-    bad = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("__id"))
-    return docs.join(bad, docs.doc_id == bad["__id"], "left_anti")
+def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of docs, all columns, that hold no item and no part of one (see quoted). Rows without an id, with a null or
+    empty text stay; rows that repeat an id go together."""
+    bad = contaminated(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("__id"))
+    return docs.join(bad, docs[id_col] == bad["__id"], "left_anti")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,24 +174,20 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", F.col("at").cast("long").alias("start_word"), F.col("n_item").cast("long").alias("n_item"), F.col("n_same").cast("long").alias("n_same"))
 
 
+# Along all diagonals, without seeds: equal words vote for their diagonal.
 def _sql() -> str:
-    low = "lower(coalesce(text, ''))"
-
-    def seeds(name: str, key: str) -> str:
-        split = rf"list_filter(string_split_regex({low}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
-        out = f"{name}_w AS (SELECT {key}, unnest(w) AS word, unnest(range(len(w))) AS p FROM (SELECT {key}, {split} AS w FROM {name})), "
-        rows = []
-        for k, m in enumerate(MASKS):
-            under = ", ".join(f"lead(word, {j}) OVER o" if j else "word" for j, c in enumerate(m) if c == "1")
-            rows.append(f"SELECT * FROM (SELECT {key}, p, {k} AS mask, CASE WHEN lead(word, {len(m) - 1}) OVER o IS NOT NULL THEN concat_ws(' ', {under}) END AS seed FROM {name}_w WINDOW o AS (PARTITION BY {key} ORDER BY p)) WHERE seed IS NOT NULL")
-        return out + f"{name}_s AS ({' UNION ALL '.join(rows)})"
+    def split(name: str, key: str) -> str:
+        words = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+        return f"{name}_w AS (SELECT {key}, unnest(w) AS word, unnest(range(len(w))) AS p, len(w) AS n FROM (SELECT {key}, {words} AS w FROM {name}))"
 
     return f"""
-WITH {seeds('documents', 'doc_id')}, {seeds('benchmark', 'item_id')},
-h AS (SELECT DISTINCT doc_id, item_id, d.p - b.p AS p FROM documents_s d JOIN benchmark_s b USING (mask, seed)),
-v AS (SELECT h.doc_id, h.item_id, h.p, count(*) AS n_item, count(d.word) AS n_same
-      FROM h JOIN benchmark_w w USING (item_id) LEFT JOIN documents_w d ON d.doc_id = h.doc_id AND d.p = h.p + w.p AND d.word = w.word GROUP BY ALL)
-SELECT doc_id, item_id, p::BIGINT AS start_word, n_item::BIGINT AS n_item, n_same::BIGINT AS n_same FROM v WHERE n_same >= {OVERLAP} * n_item
+WITH {split('documents', 'doc_id')}, {split('benchmark', 'item_id')},
+m AS (SELECT doc_id, item_id, d.p - b.p AS start, b.p AS p, b.n AS n FROM documents_w d JOIN benchmark_w b USING (word)),
+c AS (SELECT doc_id, item_id, start, n, count(*) AS n_same FROM m GROUP BY ALL HAVING count(*) >= {OVERLAP} * least(any_value(n), {PART})),
+r AS (SELECT m.*, c.n_same, row_number() OVER (PARTITION BY doc_id, item_id, start ORDER BY p) AS k FROM m JOIN c USING (doc_id, item_id, start, n)),
+h AS (SELECT DISTINCT a.doc_id, a.item_id, a.start, a.n, a.n_same FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND a.start = b.start
+      AND b.p >= a.p AND b.k - a.k + 1 >= {OVERLAP} * greatest(b.p - a.p + 1, least(a.n, {PART})))
+SELECT doc_id, item_id, start::BIGINT AS start_word, n::BIGINT AS n_item, n_same::BIGINT AS n_same FROM h
 """
 
 
