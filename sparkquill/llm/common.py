@@ -69,6 +69,12 @@ def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
 
 
+def stored_bytes(docs: DataFrame) -> int:
+    """About how many bytes docs takes where it is stored, as the optimizer knows from its files; else its texts are counted."""
+    known = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return known if known < 1 << 55 else text_bytes(docs)
+
+
 def release() -> None:
     """Give memory that a Python worker no longer uses back to the system, for the worker lives on between tasks."""
     pa.default_memory_pool().release_unused()

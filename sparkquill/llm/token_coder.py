@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, KEEP, LOWER, buffers, eights, in_groups, mix, release, saved, small_batches, table, text_bytes, words
+from .common import BROADCAST_ROWS, KEEP, LOWER, buffers, eights, in_groups, mix, release, saved, small_batches, stored_bytes, table, words
 
 MAGIC = b"CMR2"
 BLOCK_IDS = 1 << 22
@@ -354,8 +354,8 @@ def decode(data: bytes) -> np.ndarray:
 END = 2
 #: Ids of a container, about: it ends with the texts that fill it.
 CONTAINER_IDS = BLOCK_IDS - (1 << 18)
-#: Bytes of text that a task encodes, about.
-PART_BYTES = 24 << 20
+#: Bytes of stored documents that a task encodes, about.
+PART_BYTES = 14 << 20
 
 
 #: A special token of the vocabulary; words that hold "<|" are encoded one by one.
@@ -570,22 +570,39 @@ class WordCache:
         return self.ids.take(np.repeat(start - total[:-1], size) + np.arange(total[-1], dtype=np.int32)), counts
 
 
-_CONTAINERS = "part int, seq int, n long, docs array<long>, sizes array<long>, data binary"
+_CONTAINERS = "part int, seq long, n long, docs array<long>, sizes array<long>, data binary"
 
 
-def write_tokens(docs: DataFrame, path: str, end: int = END, order_by: tuple[str, ...] = ("doc_id",), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode every text with the tokenizer file at `path` and store containers of ids in order of order_by; the table of
-    containers (part, seq, n, docs, sizes, data) as stored. Range partitions keep the order; ties are ordered by id, then as
-    they lie in docs, so rows of one key may fill several partitions."""
-    spark = docs.sparkSession
-    parts = max(1, -(-text_bytes(docs, text_col) // PART_BYTES))
+def _in_order(docs: DataFrame, order_by: tuple[str, ...], id_col: str, text_col: str) -> DataFrame:
+    """(part, row, doc, text): range partitions of docs; within each, rows are numbered in order."""
+    parts = max(1, -(-stored_bytes(docs) // PART_BYTES))
     own = docs.select(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order_by)], F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     keys = [*(f"o{i}" for i in range(len(order_by))), "doc", "row"]
     own = own.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-    own = own.select(F.spark_partition_id().alias("part"), "doc", "text")
+    return own.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"), "doc", "text")
+
+
+def _as_stored(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(part, row, doc, text) of a table that was read from files: files by their number, rows as they lie. Nothing is shuffled."""
+    path = F.col("_metadata.file_path")
+    files = docs.select(path.alias("path")).distinct()
+    number = F.regexp_extract("path", r"part-(\d+)[^/]*$", 1).cast("long")
+    part = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(number.asc_nulls_first(), "path"))  # a row a file
+    files = saved(docs.sparkSession, files.select("path", part.alias("part")), "token-files")
+    own = docs.select(path.alias("path"), F.col("_metadata.row_index").alias("row"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    return own.join(F.broadcast(files) if files.count() <= BROADCAST_ROWS else files, "path").select("part", "row", "doc", "text")
+
+
+def write_tokens(docs: DataFrame, path: str, end: int = END, order_by: tuple[str, ...] | None = ("doc_id",), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Encode every text with the tokenizer file at `path` and store containers of ids in order of order_by; the table of
+    containers (part, seq, n, docs, sizes, data) as stored. Range partitions keep the order; ties are ordered by id, then as
+    they lie in docs, so rows of one key may fill several partitions. order_by None: docs is a table read from files, whose
+    order stays (files by number, rows as they lie)."""
+    spark = docs.sparkSession
+    own = _as_stored(docs, id_col, text_col) if order_by is None else _in_order(docs, order_by, id_col, text_col)
 
     def run(batches):
-        cache_, seq, part = _shared_cache(path), 0, 0
+        cache_, part, first, last = _shared_cache(path), None, 0, 0
         held: tuple[list, list, list] = ([], [], [])  # ids, documents, sizes
         total = 0
 
@@ -594,21 +611,32 @@ def write_tokens(docs: DataFrame, path: str, end: int = END, order_by: tuple[str
             for x in held:
                 x.clear()
             lists = [pa.ListArray.from_arrays(pa.array([0, len(docs_)], pa.int32()), v) for v in (docs_, pa.array(sizes, pa.int64()))]
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([total], pa.int64()), *lists, pa.array([encode(ids)], pa.binary())], ["part", "seq", "n", "docs", "sizes", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([first], pa.int64()), pa.array([total], pa.int64()), *lists, pa.array([encode(ids)], pa.binary())], ["part", "seq", "n", "docs", "sizes", "data"])
 
         try:
-            for b in batches:
-                part = b.column(0)[0].as_py() if len(b) else part
-                buf, off = buffers(b.column(2))
-                for i, j in in_groups(off, 1 << 19):
-                    out, counts = cache_.texts(buf[off[i] : off[j]], off[i : j + 1] - off[i], end)
-                    held[0].append(out)
-                    held[1].append(b.column(1).slice(i, j - i))
-                    held[2].append(counts)
-                    total += len(out)
-                    if total >= CONTAINER_IDS:
+            for whole in batches:
+                parts, rows = whole.column(0).to_numpy(), whole.column(1).to_numpy()
+                cuts = np.flatnonzero((np.diff(parts) != 0) | (np.diff(rows) != 1)) + 1
+                for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)], strict=True):
+                    if a == z:
+                        continue
+                    if total and (part != parts[a] or rows[a] != last + 1):  # other rows lie between
                         yield container()
-                        total, seq = 0, seq + 1
+                        total = 0
+                    b = whole.slice(a, z - a)
+                    buf, off = buffers(b.column(3))
+                    for i, j in in_groups(off, 1 << 19):
+                        if not total:
+                            part, first = int(parts[a]), int(rows[a + i])
+                        out, counts = cache_.texts(buf[off[i] : off[j]], off[i : j + 1] - off[i], end)
+                        held[0].append(out)
+                        held[1].append(b.column(2).slice(i, j - i))
+                        held[2].append(counts)
+                        total += len(out)
+                        if total >= CONTAINER_IDS:
+                            yield container()
+                            total = 0
+                    last = int(rows[z - 1])
             if total:
                 yield container()
         finally:
@@ -658,7 +686,7 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode_corpus(spark: SparkSession, docs: DataFrame, order_by: tuple[str, ...] = ("doc_id",), tokenizer: str | None = None) -> DataFrame:
+def encode_corpus(spark: SparkSession, docs: DataFrame, order_by: tuple[str, ...] | None = ("doc_id",), tokenizer: str | None = None) -> DataFrame:
     """Write the ids of all documents and read them back (see read_tokens).
 
     A null or empty text has the end id alone. Rows that repeat an id are documents of their own, in the order in which they
