@@ -1,8 +1,9 @@
 """Media columns: interleaved document sequences whose media references are digests into a payload store.
 
 A sequence is an ordered array of parts: text, or a reference to a payload by its SHA-256 with its caption. HTML pages are
-parsed into such sequences. Payloads are kept once a writer in a store keyed by digest, as lossless 8-bit greyscale PNG
-images 64 samples wide. References are resolved by a join on the digest; what is read back is decoded and checked against it.
+parsed into such sequences. Payloads that a page carries itself are stored once a task, keyed by digest, as lossless 8-bit
+greyscale PNG images 64 samples wide. References are resolved by a join on the digest; what is read back is decoded and
+checked against it. A sequence has a row number of its own, so pages that repeat an id, or have none, stay apart.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import release, saved, small_batches, table
 
 WIDTH = 64
 _SIGN = b"\x89PNG\r\n\x1a\n"
@@ -72,23 +74,32 @@ def from_png(media: bytes) -> bytes:
 _STORE = "digest string, n_bytes long, media binary"
 
 
+class _Store:
+    """Stored forms of payloads, each digest once a task (as far as a bounded set of digests goes)."""
+
+    def __init__(self, most: int = 1 << 20):
+        self.done: set[bytes] = set()
+        self.most = most
+
+    def rows(self, payloads: list[bytes]) -> list[dict]:
+        out = []
+        for data in payloads:
+            sha = hashlib.sha256(data).digest()
+            if sha not in self.done:
+                if len(self.done) < self.most:
+                    self.done.add(sha)
+                out.append({"digest": sha.hex(), "n_bytes": len(data), "media": to_png(pad(data))})
+        return out
+
+
 def payload_store(payloads: DataFrame, column: str = "payload") -> DataFrame:
     """(digest, n_bytes, media): payloads (binary; null: empty) padded and stored, once a task at most. digest: of the unpadded payload."""
 
     def run(batches):
-        done: set[bytes] = set()
+        store = _Store()
         for b in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for x in b.column(0):
-                data = x.as_py() or b""
-                sha = hashlib.sha256(data).digest()
-                if sha in done:
-                    continue
-                if len(done) < 1 << 20:
-                    done.add(sha)
-                for to, v in zip(out, (sha.hex(), len(data), to_png(pad(data))), strict=True):
-                    to.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], ["digest", "n_bytes", "media"])
+            rows = store.rows([x.as_py() or b"" for x in b.column(0)])
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in (("digest", pa.string()), ("n_bytes", pa.int64()), ("media", pa.binary()))], ["digest", "n_bytes", "media"])
 
     return payloads.select(F.coalesce(F.col(column), F.lit(b"")).alias("payload")).mapInArrow(run, _STORE)
 
@@ -175,7 +186,7 @@ class _Interleave(HTMLParser):
                 self.payloads.append((digest, data))
                 src = head
             else:
-                digest = hashlib.sha256(src.encode()).hexdigest()  # an outside payload is looked up by the digest of its address
+                digest = "at:" + hashlib.sha256(src.encode()).hexdigest()  # an outside payload is looked up by its address
             self.parts.append({"kind": "media", "text": None, "digest": digest, "caption": a.get("alt") or None, "source": src})
             if self.figure:
                 self.open.append(len(self.parts) - 1)
@@ -211,37 +222,53 @@ def parse_html(html: str | None) -> tuple[list[dict], list[tuple[str, bytes]]]:
 
 
 def interleave(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, parts array<PART>, payloads array<struct<digest, payload>>) of every row. Null and empty pages have no parts."""
+    """(row, id, parts array<PART>, stored array<struct<digest, n_bytes, media>>) of every row: its sequence, and the payloads
+    that it carries and no page of its task before. row tells sequences apart; write the table before using it twice. Null
+    and empty pages have no parts."""
     kind = pages.schema[id_col].dataType.simpleString()
     part = pa.list_(pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string()), ("source", pa.string())]))
-    load = pa.list_(pa.struct([("digest", pa.string()), ("payload", pa.binary())]))
+    load = pa.list_(pa.struct([("digest", pa.string()), ("n_bytes", pa.int64()), ("media", pa.binary())]))
 
     def run(batches):
-        for b in batches:
-            found = [parse_html(x) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[0] for f in found], part), pa.array([[{"digest": d, "payload": x} for d, x in f[1]] for f in found], load)], ["id", "parts", "payloads"])
-
-    return pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).mapInArrow(run, f"id {kind}, parts array<{PART}>, payloads array<struct<digest:string,payload:binary>>")
+        store, row = _Store(), TaskContext.get().partitionId() << 33
+        try:
+            for whole in batches:
+                for i in range(0, len(whole), 250):  # few at a time: payloads are held twice
+                    b = whole.slice(i, 250)
+                    found = [parse_html(x.as_py()) for x in b.column(1)]
+                    own = [pa.array(range(row, row + len(b)), pa.int64()), b.column(0), pa.array([f[0] for f in found], part), pa.array([store.rows([x for _, x in f[1]]) for f in found], load)]
+                    row += len(b)
+                    yield pa.RecordBatch.from_arrays(own, ["row", "id", "parts", "stored"])
+        finally:
+            release()
+
+    with small_batches(pages.sparkSession):
+        return pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).mapInArrow(run, f"row long, id {kind}, parts array<{PART}>, stored array<struct<digest:string,n_bytes:long,media:binary>>")
 
 
 def resolve(sequences: DataFrame, found: DataFrame) -> DataFrame:
-    """Sequences (id, parts) with what `found` has for each digest beside every media part; order, positions and captions
-    stay. found: (digest, ...), one row a digest or equal rows. A digest without a row stays unresolved (null)."""
+    """(row, id, parts array<struct<part, media>>): sequences (row, id, parts) with what `found` has for each digest beside
+    every media part; order, positions and captions stay. found: (digest, ...), one row a digest or equal rows. A digest
+    without a row stays unresolved (null). Sequences that repeat an id stay apart."""
     columns = [c for c in found.columns if c != "digest"]
     one = found.groupBy("digest").agg(*[F.first(c).alias(c) for c in columns]).select("digest", F.struct(*columns).alias("media"))
-    parts = sequences.select("id", F.posexplode_outer("parts").alias("i", "part"))
+    # a table of its own: a join with a bare aggregate could not split a digest that very many sequences refer to
+    one = saved(found.sparkSession, one, "media-found")
+    parts = sequences.select("row", "id", F.posexplode_outer("parts").alias("i", "part"))
     # text parts have no digest and would all meet in one task: only media parts go to the join
     media = parts.where("part.digest is not null").withColumn("digest", F.col("part.digest"))
-    media = media.join(one, "digest", "left").select("id", "i", "part", "media")
-    text = parts.where("part.digest is null").select("id", "i", "part", F.lit(None).cast(media.schema["media"].dataType).alias("media"))
-    both = media.unionByName(text).groupBy("id").agg(F.array_sort(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "part", "media")))).alias("parts"))
-    return both.select("id", F.transform("parts", lambda p: F.struct(p["part"].alias("part"), p["media"].alias("media"))).alias("parts"))
+    media = media.join(one, "digest", "left").select("row", "id", "i", "part", "media")
+    text = parts.where("part.digest is null").select("row", "id", "i", "part", F.lit(None).cast(media.schema["media"].dataType).alias("media"))
+    both = media.unionByName(text).groupBy("row").agg(F.first("id").alias("id"), F.array_sort(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "part", "media")))).alias("parts"))
+    return both.select("row", "id", F.transform("parts", lambda p: F.struct(p["part"].alias("part"), p["media"].alias("media"))).alias("parts"))
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document is a sequence of one media part: its whole text. The reference is its digest."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("payload"))
-    found = payload_features(saved(spark, payload_store(docs), "media-store", codec="none"))
-    # a table of its own: a join with a bare aggregate could not split the digest of a text with very many copies
-    found = saved(spark, found.groupBy("digest").agg(*[F.first(c).alias(c) for c in found.columns if c != "digest"]), "media-features")
-    return docs.select("doc_id", F.sha2("payload", 256).alias("digest")).join(found, "digest").drop("digest")
+    """Every document becomes a page with one figure: its whole text is the payload, language and source are the caption. The
+    pages are parsed into sequences, payloads stored by digest, read back and measured, and joined to the references."""
+    docs = table(spark, sf_dir, "documents")
+    page = F.concat(F.lit('<figure><img src="data:application/octet-stream;base64,'), F.base64(F.coalesce(F.col("text"), F.lit("")).cast("binary")), F.lit('"><figcaption>'), F.translate(F.concat_ws(" ", "lang", "source"), "<&", "  "), F.lit("</figcaption></figure>"))
+    pages = saved(spark, interleave(docs.select("doc_id", page.alias("html")), "doc_id"), "media-sequences", codec="none")
+    found = payload_features(pages.select(F.explode("stored").alias("s")).select("s.*"))
+    out = resolve(pages.select("row", "id", "parts"), found)
+    return out.select(F.col("id").alias("doc_id"), F.element_at("parts", 1)["media"].alias("m")).select("doc_id", "m.*")
