@@ -191,15 +191,37 @@ def test_media_store(spark, hard, empty):
 PAGE = '<h1>T</h1>a <img src="data:text/plain;base64,aGk=" alt="pic"> b<figure><img src="u.png"><figcaption>cap <b>x</b></figcaption></figure><script>no</script>end'
 
 
+def brute_feature(payload):
+    n, mean = len(payload), sum(payload)
+    square, step = sum(x * x for x in payload), sum(abs(a - b) for a, b in zip(payload, payload[1:], strict=False))
+    bins = [sum(x >> 5 == k for x in payload) for k in range(8)]
+    return ",".join(str(v) for v in [mean * 1000 // n, (square * n - mean * mean) * 1000 // (n * n), payload.count(0) * 1000 // n, step * 1000 // (n - 1), *(b * 1000 // n for b in bins)])
+
+
+def test_features(spark):
+    payloads = [b"", b"abc", bytes(range(256)) * 3, b"\0" * 70, b"\xff" * 64]
+    store = media.payload_store(spark.createDataFrame([(bytearray(p),) for p in [*payloads, b"abc"]], "payload binary"))
+    got = {r.digest: r.feature for r in media.payload_features(store).collect()}
+    assert got == {hashlib.sha256(p).hexdigest(): brute_feature(media.pad(p)) for p in payloads}
+
+
 def test_sequences(spark):
-    pages = spark.createDataFrame([(1, PAGE), (2, None), (3, ""), (4, PAGE)], "page_id long, html string")
-    seq = media.interleave(pages)
-    parts = {r.id: r.parts for r in seq.collect()}
-    assert [(p.pos, p.kind, p.text, p.caption) for p in parts[1]] == [(0, "text", "T", None), (1, "text", "a", None), (2, "media", None, "pic"), (3, "text", "b", None), (4, "media", None, "cap x"), (5, "text", "end", None)]
-    assert parts[2] == parts[3] == [] and parts[4] == parts[1]
-    found = media.payload_features(media.payload_store(seq.selectExpr("explode(payloads) p").selectExpr("p.payload payload")))
-    out = {r.id: r.parts for r in media.resolve(seq, found).collect()}
-    assert [p.part.pos for p in out[1]] == list(range(6)) and out[1][2].media.n_bytes == 2 and out[1][4].media is None and out[2] == []
+    other = '<p>one<img src="v.png" alt="v">two'
+    pages = spark.createDataFrame([(1, PAGE), (2, None), (3, ""), (4, PAGE), (1, other), (None, PAGE), (None, other)], "page_id long, html string")
+    seq = common.saved(spark, media.interleave(pages), "sequences")
+    parts = defaultdict(list)
+    for r in seq.collect():
+        parts[r.id].append([(p.pos, p.kind, p.text, p.caption) for p in r.parts])
+    long = [(0, "text", "T", None), (1, "text", "a", None), (2, "media", None, "pic"), (3, "text", "b", None), (4, "media", None, "cap x"), (5, "text", "end", None)]
+    short = [(0, "text", "one", None), (1, "media", None, "v"), (2, "text", "two", None)]
+    want = {1: [long, short], 2: [[]], 3: [[]], 4: [long], None: [long, short]}
+    assert {k: sorted(v, key=len, reverse=True) for k, v in parts.items()} == want
+    found = media.payload_features(seq.select(F.explode("stored").alias("s")).select("s.*"))
+    out = defaultdict(list)
+    for r in media.resolve(seq, found).collect():
+        out[r.id].append(r.parts)
+        assert all(p.media is None or (p.part.pos, p.media.n_bytes) == (2, 2) for p in r.parts) and (len(r.parts) != 6 or r.parts[2].media)
+    assert {k: sorted(([(p.part.pos, p.part.kind, p.part.text, p.part.caption) for p in x] for x in v), key=len, reverse=True) for k, v in out.items()} == want
 
 
 # ---- near duplicates
@@ -591,15 +613,27 @@ def test_pfair(weights):
         mixing.pfair({"a": 0})
 
 
-def test_mixing(hard, empty, texts):
-    rows = mixing.schedule(hard, {"a": 3, "b": 2}, block_words=40).collect()
-    assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in hard.select("doc_id").collect())
-    assert all(r.n_words == len(split(texts[r.doc_id])) for r in rows)
+def test_pfair_of_many_sources():
+    weights = {f"s{i}": 1 + i % 5 for i in range(20_000)}
+    plan = mixing.pfair(weights)
+    assert len(plan) == sum(weights.values()) and plan[0][1] == 0
+
+
+@pytest.mark.parametrize("chunk", [4096, 3])
+def test_mixing(spark, hard, empty, monkeypatch, chunk):
+    monkeypatch.setattr(mixing, "CHUNK_DOCS", chunk)
+    more = [(7, "other text of a repeated id", "a"), *[(None, "equal rows without an id", "b")] * 20, (None, "another", "b")]
+    docs = hard.unionByName(make(spark, more))
+    rows = mixing.schedule(docs, {"a": 3, "b": 2}, block_words=40).collect()
+    have = Counter((r.doc_id, r.source or "", len(split(r.text))) for r in docs.select("doc_id", "source", "text").collect())
+    assert Counter((r.doc_id, r.source, r.n_words) for r in rows) == have
     by = defaultdict(list)
     for r in rows:
         by[r.source].append(r)
+    often = Counter((r.source, r.key) for r in rows)
     for own in by.values():
-        own.sort(key=lambda r: (r.key, r.doc_id, r.block))  # repeated rows are interchangeable
+        digits = 1 if max(Counter(r.source for r in rows).values()) <= chunk * 16 else 2
+        own.sort(key=lambda r: (r.key[:digits], often[r.source, r.key] > chunk, r.key, r.block))
         before = 0
         for r in own:
             assert r.block == before // 40
@@ -608,5 +642,5 @@ def test_mixing(hard, empty, texts):
     for r in rows:
         assert slots.setdefault(r.slot, (r.source, r.block)) == (r.source, r.block)
     assert mixing.schedule(empty).count() == 0
-    out = mixing.mixed(hard, block_words=40)
-    assert out.columns == hard.columns and out.count() == hard.count() and mixing.mixed(empty).count() == 0
+    out = mixing.mixed(docs, block_words=40)
+    assert out.columns == docs.columns and out.count() == docs.count() and mixing.mixed(empty).count() == 0
