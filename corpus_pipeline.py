@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,13 +36,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of all documents, written in the order of the mix, read back: doc_id, start, n_tokens, ids_crc32.
-
-    The order is a function of the documents, so it is computed anew rather than carried in a column.
-    """
-    place = mixing.schedule(docs, mixing.WEIGHTS).select(F.col("doc_id").alias("__id"), "slot", "key").dropDuplicates(["__id"])
-    ordered = docs.select("doc_id", "text").join(place, docs.doc_id.eqNullSafe(place["__id"]), "left").drop("__id")
-    return token_coder.encode_corpus(spark, ordered, order_by=("slot", "key"))
+    """Token ids of all documents, written in the order in which the mix lies in its files, read back: doc_id, start, n_tokens,
+    ids_crc32. Documents that come from no file are mixed first."""
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        docs = saved(spark, mixing.mixed(docs, mixing.WEIGHTS), "mixed-again")
+    return token_coder.encode_corpus(spark, docs, order_by=None)
 
 
 STAGES = [
