@@ -10,6 +10,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
+from bisect import bisect_right
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -75,58 +78,85 @@ _SAME = {
 _SAME |= {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)}  # full-width forms
 _SAME |= {chr(z + d): str(d) for z in (0x0660, 0x06F0, 0x0966, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6) for d in range(10)}
 _GONE = "​‌‍⁠﻿­"
-_GLYPH = re.compile("[" + "".join(map(re.escape, _SAME)) + _GONE + "]")
-_TABLE = {ord(k): v for k, v in _SAME.items()} | {ord(c): None for c in _GONE}
-
-_SPELLED = {w: str(d) for d, ws in enumerate(("zero oh", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")) for w in ws.split()}
-_DIGIT = "(?:" + "|".join(_SPELLED) + ")"
+_GLYPH, _INVISIBLE = re.compile("[" + "".join(map(re.escape, _SAME)) + "]"), re.compile(f"[{_GONE}]+")
+_TABLE = {ord(k): v for k, v in _SAME.items()}
+
+_SPELLED = {w: str(d) for d, ws in enumerate((
+    "zero oh null zéro cero", "one eins un uno", "two zwei deux dos", "three drei trois tres", "four vier quatre cuatro", "five fünf cinq cinco",
+    "six sechs seis", "seven sieben sept siete", "eight acht huit ocho", "nine neun neuf nueve",
+)) for w in ws.split()}
+_DIGIT = "(?:" + "|".join(sorted(_SPELLED, key=len, reverse=True)) + ")"
 # seven digits or more in a row, at least one of them spelled
 _SPELLED_RUN = re.compile(rf"\b(?:plus[\x20-]+)?(?:{_DIGIT}|[0-9])(?:[\x20,.-]{{1,2}}(?:{_DIGIT}|[0-9]+|dash|dot|point)\b){{6,}}", re.I)
 _SPELLED_WORD = re.compile(rf"{_DIGIT}\b|plus[\x20-]+|[\x20,.-]*(?:dot|point)\b[\x20,.-]*|[\x20,.-]*dash\b[\x20,.-]*|[\x20,.-]+", re.I)
 _HINT_DIGIT = re.compile(rf"\b{_DIGIT}[\x20,.-]{{1,2}}(?:{_DIGIT}|[0-9])", re.I)
 
-_AT = r"\s?(?:[\[({<]\s?(?:at|@)\s?[\])}>])\s?|\s@\s"
-_DOT = r"\s?(?:[\[({<]\s?(?:dot|\.)\s?[\])}>])\s?|\sdot\s"
-_HOST_DOT = rf"{_DOT}|\s\.\s"
-# a bare " at " counts only with a disguised dot after it; a bracketed at or a spaced @ also with a plain full stop
+_AT = r"\s?(?:[\[({<]\s?(?:at|arroba|arobase|@)\s?[\])}>])\s?|\s@\s|\sarroba\s"
+_DOT = r"\s?(?:[\[({<]\s?(?:dot|punto|punkt|point|\.)\s?[\])}>])\s?|\sdot\s"
+_HOST_DOT = rf"{_DOT}|\s\.\s|\spunto\s"
+# a bare " at " counts only with a disguised dot after it; a bracketed at or a spaced @ also with a plain full stop. At most
+# 16 parts before the at and 17 labels behind it
 _DISGUISED = re.compile(
-    rf"[A-Za-z0-9_%+-]{{1,64}}(?:(?:{_DOT}|\.)[A-Za-z0-9_%+-]{{1,64}}){{0,4}}"
-    rf"(?:(?:{_AT})[A-Za-z0-9-]{{1,63}}(?:(?:{_HOST_DOT}|\.)[A-Za-z0-9-]{{1,63}}){{1,5}}|(?:\sat\s|@)[A-Za-z0-9-]{{1,63}}(?:\.[A-Za-z0-9-]{{1,63}}){{0,4}}(?:(?:{_DOT})[A-Za-z0-9-]{{1,63}}){{1,5}})",
+    rf"[A-Za-z0-9_%+-]{{1,64}}(?:(?:{_DOT}|\.)[A-Za-z0-9_%+-]{{1,64}}){{0,15}}"
+    rf"(?:(?:{_AT})[A-Za-z0-9-]{{1,63}}(?:(?:{_HOST_DOT}|\.)[A-Za-z0-9-]{{1,63}}){{1,16}}|(?:\sat\s|@)[A-Za-z0-9-]{{1,63}}(?:\.[A-Za-z0-9-]{{1,63}}){{0,15}}(?:(?:{_DOT})[A-Za-z0-9-]{{1,63}}){{1,16}})",
     re.I,
 )
-_HINT_AT = re.compile(r"[\[({<]\s?(?:at|dot|@|\.)\s?[\])}>]|\sdot\s|\s@\s", re.I)
+_HINT_AT = re.compile(r"[\[({<]\s?(?:at|arroba|arobase|dot|punto|punkt|point|@|\.)\s?[\])}>]|\sdot\s|\s@\s|\sarroba\s", re.I)
 _AT_PART = re.compile(rf"{_AT}|\sat\s", re.I)
 _DOT_PART = re.compile(_HOST_DOT, re.I)
 
 
+class _Layer:
+    """The edits of one rewriting, as sorted places: memory grows with the edits, not with the text."""
+
+    def __init__(self):
+        self.begin, self.stop, self.old_begin, self.old_stop = (array("q") for _ in range(4))
+
+    def start(self, i: int) -> int:
+        """Where what character i stands for begins in the text before."""
+        k = bisect_right(self.begin, i) - 1
+        if k < 0:
+            return i
+        return self.old_begin[k] if i < self.stop[k] else i - self.stop[k] + self.old_stop[k]
+
+    def end(self, i: int) -> int:
+        k = bisect_right(self.begin, i) - 1
+        return self.old_stop[k] if k >= 0 and i < self.stop[k] else self.start(i) + 1
+
+
 class Mapped:
-    """A text with, for each character, the start and end of its source characters. No map: the source itself."""
+    """A text and how it came from its source: layers of edits, the last one first to be undone."""
 
-    def __init__(self, text: str, starts: list[int] | None = None, ends: list[int] | None = None):
-        self.text, self.starts, self.ends = text, starts, ends
+    def __init__(self, text: str, layers: tuple[_Layer, ...] = ()):
+        self.text, self.layers = text, layers
 
     def source(self, a: int, z: int) -> tuple[int, int]:
-        return (a, z) if self.starts is None else (self.starts[a], self.ends[z - 1])
+        """The source characters of [a, z), which is not empty."""
+        for layer in reversed(self.layers):
+            a, z = layer.start(a), layer.end(z - 1)
+        return a, z
 
-    def rewrite(self, edits: list[tuple[int, int, str]]) -> Mapped:
+    def rewrite(self, edits: Iterable[tuple[int, int, str]]) -> Mapped:
         """Replace each [a, z) by its string; the replacement stands for all that it replaces."""
-        if not edits:
-            return self
-        starts = self.starts if self.starts is not None else range(len(self.text))
-        ends = self.ends if self.ends is not None else range(1, len(self.text) + 1)
-        text, s, e, at = [], [], [], 0
+        layer, text, at, moved = _Layer(), [], 0, 0
         for a, z, new in edits:
             text += (self.text[at:a], new)
-            s += [*starts[at:a], *[starts[a]] * len(new)]
-            e += [*ends[at:a], *[ends[z - 1]] * len(new)]
+            layer.begin.append(a + moved)
+            layer.stop.append(a + moved + len(new))
+            layer.old_begin.append(a)
+            layer.old_stop.append(z)
+            moved += len(new) - (z - a)
             at = z
-        return Mapped("".join((*text, self.text[at:])), [*s, *starts[at:]], [*e, *ends[at:]])
+        return Mapped("".join((*text, self.text[at:])), (*self.layers, layer)) if layer.begin else self
 
 
 def homoglyphs(m: Mapped) -> Mapped:
+    """Characters that look alike are replaced one by one, so no place moves; invisible ones go."""
     if m.text.isascii():
         return m
-    return m.rewrite([(x.start(), x.end(), _SAME.get(x[0], "")) for x in _GLYPH.finditer(m.text)])
+    if _GLYPH.search(m.text):
+        m = Mapped(m.text.translate(_TABLE), m.layers)
+    return m.rewrite((x.start(), x.end(), "") for x in _INVISIBLE.finditer(m.text))
 
 
 def spelled_digits(m: Mapped) -> Mapped:
@@ -174,7 +204,7 @@ def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     base = plain(text)
     clear = homoglyphs(Mapped(text))
     m = at_dot(spelled_digits(clear))
-    if m.starts is None:
+    if m.text is text:
         return base, base
     more, covered = [], [(a, z) for a, _, z in base]
     # apart from plain spans, or longer than those that it overlaps
