@@ -1,6 +1,6 @@
 """Exact substring deduplication: Rabin-Karp hashes of every fixed-length word window, merged into removal intervals.
 
-Documents are dealt into blocks of bounded size by a hash of their id. Each block sends, for every window hash that occurs
+Rows are dealt into blocks of bounded size by a hash of their id and text. Each block sends, for every window hash that occurs
 in it, one entry (hash, smallest document of the block) to the hash's bucket, packed and compressed: a window that a third
 of all documents share arrives once a block. A bucket finds the smallest document of every hash and answers each block
 with one bit an entry: does a smaller document of another block hold this window? With its bits each block marks the
@@ -175,13 +175,14 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, with_text: bool = Tr
     Words are runs without ASCII white space. A word goes if it is in a window of `window` words whose word sequence also
     starts in a document of a smaller doc_id; windows are judged on the input. intervals are the maximal runs of removed
     words (end exclusive; two that touch are one). Kept words are joined by one space. Null and empty texts have no words;
-    texts shorter than the window lose none. Rows that repeat a doc_id are one document here: none of them is smaller. A
-    null doc_id is smaller than all others. Two different windows count as equal if their 64-bit hashes agree.
+    texts shorter than the window lose none. Rows that repeat a doc_id are one document here: none of them is smaller, and
+    they may lie in different blocks. A null doc_id is smaller than all others. Two different windows count as equal if
+    their 64-bit hashes agree: of n different windows about n * n / 2**65 pairs do.
     """
     total = text_bytes(docs, text_col)
     blocks, buckets = max(1, -(-total // block_bytes)), max(1, -(-total // bucket_bytes))
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
-    own = docs.select(doc.alias("doc"), F.col(text_col).alias("text")).select(F.pmod(F.xxhash64("doc"), F.lit(blocks)).cast("int").alias("block"), "doc", "text")
+    own = docs.select(doc.alias("doc"), F.col(text_col).alias("text")).select(F.pmod(F.xxhash64("doc", "text"), F.lit(blocks)).cast("int").alias("block"), "doc", "text")
     bits = own.groupBy("block").applyInArrow(_entries(window, buckets), _ENTRIES).groupBy("bucket").applyInArrow(_losers, _BITS)
     return own.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(_removed(window, buckets, with_text), _RESULT)
 
