@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, buffers, table
+from .common import LOWER, buffers, release, table
 
 #: n-gram lengths in bytes, hash bits, most labelled rows of each class, passes and step of the fit.
 GRAMS = (4, 6)
@@ -127,7 +127,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, smooth: float
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list:
     """(text, label) of at most `sample` rows of each class and SAMPLE_BYTES bytes, in order of a hash of the id.
 
-    Rows without an id, text or label, and labels other than 0 and 1, are left out; of labels that repeat an id the largest
+    Rows that repeat an id and text count once. Rows without an id, text or label, and labels other than 0 and 1, are left out; of labels that repeat an id the largest
     counts. A text that does not fit in what is left of its class's bytes is passed over and the sample goes on behind it; one
     above half of SAMPLE_BYTES never fits and takes no place among the `sample` rows.
     """
@@ -137,7 +137,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> l
     rows = full.select("doc_id", "t", F.xxhash64("doc_id").alias("o"), F.octet_length("text").alias("n")).join(own, "doc_id")
     out = []
     for label in (0, 1):
-        keys = rows.where((F.col("__label") == label) & (F.col("n") <= SAMPLE_BYTES // 2)).select("doc_id", "o", "t", "n").orderBy("o", "doc_id", "t").limit(sample)
+        keys = rows.where((F.col("__label") == label) & (F.col("n") <= SAMPLE_BYTES // 2)).select("doc_id", "o", "t", "n").distinct().orderBy("o", "doc_id", "t").limit(sample)
         size, chosen = 0, []
         for r in keys.collect():  # four numbers a row, at most `sample` rows; their texts come below
             if size + r["n"] <= SAMPLE_BYTES // 2:
@@ -163,12 +163,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             buf, off = buffers(b.column(1))
             out = [m.score(_present(buf[off[i] : off[i + 1]], stamp)) for i in range(len(off) - 1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
 def held_out(column: str = "doc_id"):
-    return F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0
+    """Whether a row's label is kept from training; false for a row without an id, which has no label."""
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -178,16 +180,17 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents. Null and empty texts get the score of the bias alone; rows that repeat an id are
+    scored each by its own text; without labels every score is 0.5, with labels of one class that class's smoothed share."""
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
     out = score(docs, model)
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-
-
 def rejected(docs: DataFrame, model: Model, bar: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns, whose text scores below bar. Rows are scored where they lie: nothing is shuffled."""
+    """The rows of docs, all columns, whose text scores below bar. Rows are scored where they lie: nothing is shuffled. Null
+    and empty texts have the score of the bias alone; rows that repeat an id, or have none, are judged by their own text."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model.weights, model.bias))
     place = docs.columns.index("text")
@@ -197,5 +200,6 @@ def rejected(docs: DataFrame, model: Model, bar: float = 0.5) -> DataFrame:
         for b in batches:
             buf, off = buffers(b.column(place))
             yield b.filter(pa.array([m.score(_present(buf[off[i] : off[i + 1]], stamp)) < bar for i in range(len(off) - 1)], pa.bool_()))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
