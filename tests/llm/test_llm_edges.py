@@ -485,7 +485,7 @@ def test_classifier(spark, empty):
 
 
 def test_labels(spark, empty):
-    docs = make(spark, [(i, None if i == 3 else f"text {i}", "s") for i in range(8)])
+    docs = make(spark, [(i, None if i == 3 else f"text {i}", "s") for i in [*range(8), 1]])
     labels = spark.createDataFrame([(1, 1, 9), (1, 0, 9), (2, 0, 9), (3, 1, 9), (None, 1, 9), (4, None, 9), (5, 7, 9)], "doc_id long, toxic int, text int")
     assert sorted(toxicity.training_rows(docs, labels)) == [("text 1", 1), ("text 2", 0)]
     assert toxicity.training_rows(empty, labels) == []
@@ -527,6 +527,10 @@ def test_long_labelled_text(spark, label):
         ("we met at noon. dot the i", []),
         ("one two three", []),
         ("look at this dot", []),
+        ("we stopped at this point in time", []),
+        ("bob arroba correo punto es si", ["bob arroba correo punto es"]),
+        ("eva [arroba] correo [punto] es si", ["eva [arroba] correo [punto] es"]),
+        ("plus quatre neuf sept huit un deux trois quatre cinq six", ["plus quatre neuf sept huit un deux trois quatre cinq six"]),
     ],
 )
 def test_disguises(text, want):
@@ -543,6 +547,59 @@ def test_plain_spans_stay(text):
     assert base == plain_pii(text) and set(base) <= set(spans) and all(0 <= a < z <= len(text) for a, _, z in spans)
 
 
+AT = (" [at] ", " (at) ", "[at]", " {at} ", " @ ", " <at> ", "@")
+DOT = (" [dot] ", " (dot) ", "[.]", " dot ", " . ", "[dot]")
+LIKE = {"a": "а", "e": "е", "o": "о", "c": "с", "0": "０", "1": "１", "4": "４", ".": "．", "-": "–", "@": "＠"}
+DIGITS = "zero one two three four five six seven eight nine".split()
+
+
+def test_disguised_spans_are_found():
+    """Random identifiers in random disguises between plain words: nearly all are found, at exactly their place."""
+    rng = random.Random(17)
+    missed = Counter()
+    for _ in range(600):
+        kind = rng.choice(["email", "glyph", "spelled"])
+        if kind == "email":
+            parts = [rng.choice(["bob", "eva.li", "j_doe", "x9"]), rng.choice(AT), rng.choice(["mail", "ex-ample"])]
+            text = "".join(parts) + "".join(rng.choice(DOT) + x for x in rng.choice([["com"], ["co", "uk"], ["a", "b", "org"]]))
+        elif kind == "glyph":
+            plain = rng.choice(["bob@acme.com", "10.20.104.4", "+49 170 1234-400", "4111 1111 1111 1111"])
+            text = "".join(LIKE.get(c, c) if rng.random() < 0.5 else c for c in plain)
+            text = text.replace("o", "o\u200b", 1) if rng.random() < 0.3 else text
+        else:
+            text = rng.choice(["plus ", "plus-"]) + rng.choice([" ", "-", ", "]).join(DIGITS[rng.randrange(10)] for _ in range(rng.randint(9, 15)))
+        before, after = rng.choice(["call: ", "write, ", "é; ", "\u200b: "]), rng.choice(["; yes", "! no", ""])
+        _, spans = pii.find(before + text + after)
+        missed[kind] += (len(before), len(before) + len(text)) not in {(a, z) for a, _, z in spans}
+    assert sum(missed.values()) <= 12, missed
+
+
+@given(st.text(st.sampled_from("abcdef"), min_size=1, max_size=12), st.lists(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 3), st.text(st.sampled_from("xy"), max_size=2)), max_size=4), max_size=3))
+@settings(max_examples=200, deadline=None)
+def test_layers_of_edits(text, layers):
+    m, spans = pii.Mapped(text), [(i, i + 1) for i in range(len(text))]
+    for edits in layers:
+        own, at = [], 0
+        for a, n, new in sorted(edits):
+            if a >= at and n and a + n <= len(m.text):
+                own.append((a, a + n, new))
+                at = a + n
+        m = m.rewrite(own)
+        for a, z, new in reversed(own):
+            spans[a:z] = [(spans[a][0], spans[z - 1][1])] * len(new)
+    assert [m.source(i, i + 1) for i in range(len(m.text))] == spans
+
+
+def test_long_text_with_few_edits():
+    import tracemalloc
+
+    text = "abc de–f " * 300_000 + "bob@ex\u200bample.com"
+    tracemalloc.start()
+    _, spans = pii.find(text)
+    assert [text[a:z] for a, _, z in spans] == ["bob@ex\u200bample.com"] and tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+
+
 def test_pii_table(spark, hard, empty):
     docs = hard.unionByName(make(spark, [(100, "a@b.co, +1 555 123 4567", "s"), (None, "x@y.zz", "s"), (101, "1" * 200_000, "s"), (102, "one " * 50_000, "s")]))
     r = {x.doc_id: x for x in pii.scan_pii(docs).collect()}
