@@ -137,10 +137,12 @@ def analysed(df: DataFrame, spec: IndexSpec) -> DataFrame:
 class Index:
     """An index over DataFrames; see build_index and sources.store for saved ones."""
 
-    def __init__(self, spec: IndexSpec, docs: DataFrame, postings: DataFrame, documents: DataFrame | None = None, lengths: DataFrame | None = None):
-        """lengths: docs with rows of length 0 besides, which cost less to read where docs are analysed on the fly."""
+    def __init__(self, spec: IndexSpec, docs: DataFrame, postings: DataFrame, documents: DataFrame | None = None, lengths: DataFrame | None = None, tokens: DataFrame | None = None):
+        """lengths: docs with rows of length 0 besides, which cost less to read where docs are analysed on the fly. tokens: of
+        an index that is not stored, (doc_id, field_idx, dl, dlq, tokens [, part]), for what needs no postings."""
         self.spec, self.docs, self.postings, self.documents = spec, docs, postings, documents
         self.lengths = docs if lengths is None else lengths
+        self.tokens = tokens
 
     @property
     def part(self) -> list[str]:
@@ -148,6 +150,9 @@ class Index:
 
     @cached_property
     def terms(self) -> DataFrame:
+        if self.tokens is not None:  # no positions are gathered
+            own = self.tokens.select(*self.part, "field_idx", F.explode_outer(F.array_distinct(F.transform("tokens", lambda t: t["term"]))).alias("term"))
+            return own.where("term is not null").groupBy(*self.part, "field_idx", "term").agg(F.count(F.lit(1)).alias("df"))
         return self.postings.groupBy(*self.part, "field_idx", "term").agg(F.count(F.lit(1)).alias("df"))
 
     @cached_property
@@ -168,6 +173,34 @@ class Index:
         r = self.stats_table.first()
         return Stats(r["n_docs"] or 0, r["total_len"] or 0, tuple(r[f"total_len_{i}"] or 0 for i in range(len(self.spec.fields))))
 
+    def facts(self, by_field: dict[int, set[str]]) -> tuple[Stats, dict[tuple[int, str], int]]:
+        """The statistics, and in how many documents each of these terms is: one pass if the index is not stored."""
+        wanted = [(f, t) for f, ts in sorted(by_field.items()) for t in sorted(ts)]
+        if self.tokens is None or "stats" in self.__dict__ or len(wanted) > 200:
+            ok = F.lit(False)
+            for f, ts in sorted(by_field.items()):
+                ok = ok | ((F.col("field_idx") == f) & F.col("term").isin(sorted(ts)))
+            return self.stats, {(r["field_idx"], r["term"]): r["df"] for r in self.terms.where(ok).collect()}
+        has = lambda t: F.exists("tokens", lambda x: x["term"] == t)
+        own = self.tokens.select("doc_id", "field_idx", "dl", *[((F.col("field_idx") == f) & has(t)).cast("long").alias(f"t{k}") for k, (f, t) in enumerate(wanted)])
+        n = len(self.spec.fields)
+        sums = [F.sum(f"t{k}").alias(f"t{k}") for k in range(len(wanted))]
+        totals = [F.sum(F.when(F.col("field_idx") == i, F.col("dl")).otherwise(0)).alias(f"f{i}") for i in range(n)]
+        if n > 1:
+            own = own.groupBy("doc_id").agg(F.sum("dl").alias("dl"), *totals, *sums)
+            totals = [F.sum(f"f{i}").alias(f"f{i}") for i in range(n)]
+        r = own.agg(F.sum((F.col("dl") > 0).cast("long")).alias("n"), F.sum("dl").alias("total"), *totals, *sums).first()
+        self.__dict__["stats"] = Stats(r["n"] or 0, r["total"] or 0, tuple(r[f"f{i}"] or 0 for i in range(n)))
+        return self.stats, {key: r[f"t{k}"] for k, key in enumerate(wanted) if r[f"t{k}"]}
+
+    def postings_of(self, keys: DataFrame) -> DataFrame:
+        """(field_idx, term, doc_id, tf, dlq [, part]) of the terms of keys (field_idx, term), which is small enough to broadcast."""
+        if self.tokens is None:
+            return self.postings.drop("positions")  # the join with the terms' weights comes anyway
+        own = self.tokens.select("doc_id", *self.part, "field_idx", "dlq", F.explode_outer(F.transform("tokens", lambda t: t["term"])).alias("term"))
+        own = own.join(F.broadcast(keys), ["field_idx", "term"], "left_semi")
+        return own.groupBy(*self.part, "field_idx", "term", "doc_id", "dlq").agg(F.count(F.lit(1)).alias("tf"))
+
     def field(self, name: str) -> int:
         try:
             return self.spec.names.index(name)
@@ -178,6 +211,7 @@ class Index:
         """Cache the tables, as a warm-up; returns itself."""
         self.docs = self.lengths = self.docs.persist()
         self.postings.persist()
+        self.tokens = None
         self.__dict__.pop("terms", None)
         return self
 
@@ -190,12 +224,12 @@ class Index:
         """The index without the documents of dead(doc_id): a filter until the next compaction, with live statistics."""
         gone = dead.select("doc_id").distinct()
         live = lambda df: df.join(gone, "doc_id", "left_anti")
-        return Index(self.spec, live(self.docs), live(self.postings), self.documents, live(self.lengths))
+        return Index(self.spec, live(self.docs), live(self.postings), self.documents, live(self.lengths), self.tokens and live(self.tokens))
 
     def plus(self, other: Index) -> Index:
         """Both indexes as one. Their documents are distinct."""
         documents = self.documents.unionByName(other.documents) if self.documents is not None and other.documents is not None else None
-        return Index(self.spec, self.docs.unionByName(other.docs), self.postings.unionByName(other.postings), documents, self.lengths.unionByName(other.lengths))
+        return Index(self.spec, self.docs.unionByName(other.docs), self.postings.unionByName(other.postings), documents, self.lengths.unionByName(other.lengths), self.tokens and other.tokens and self.tokens.unionByName(other.tokens))
 
     def append(self, df: DataFrame) -> Index:
         """More documents, visible at once. A document whose id exists already is replaced."""
@@ -209,9 +243,21 @@ class Index:
         return self.append(df)
 
 
+#: Stored bytes a core up to which a table is dealt to all cores before it is analysed: its files may have few row groups.
+SPREAD_BYTES = 16 << 20
+
+
+def spread(df: DataFrame, id_col: str) -> DataFrame:
+    """A small table, dealt to all cores by its id, which also keeps a document's postings together. A large one has row groups
+    enough and stays where it lies: its texts would cost more to move than the terms of a query."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, F.col(id_col)) if size <= SPREAD_BYTES * cores else df
+
+
 def build_index(df: DataFrame, spec: IndexSpec) -> Index:
     """Analyse every row of df. Rows without a term are not counted as documents."""
-    own = analysed(df, spec)
+    own = analysed(spread(df, spec.id_col), spec)
     part = ["part"] if spec.partition_by is not None else []
     dl = F.size("tokens").cast("long")
     sized = own.select("doc_id", *part, "field_idx", dl.alias("dl"), quantised_length_col(dl).alias("dlq"), "tokens")
@@ -220,7 +266,7 @@ def build_index(df: DataFrame, spec: IndexSpec) -> Index:
     flat = sized.select("doc_id", *part, "field_idx", "dlq", F.explode_outer("tokens").alias("t")).select("doc_id", *part, "field_idx", "dlq", F.col("t.term").alias("term"), F.col("t.pos").alias("pos")).where("term is not null")
     # a document's rows lie in one task, so the partial aggregate already holds its final postings
     postings = flat.groupBy(*part, "field_idx", "term", "doc_id", "dlq").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-    return Index(spec, lengths.where("dl > 0"), postings, df, lengths)
+    return Index(spec, lengths.where("dl > 0"), postings, df, lengths, sized)
 
 
 class IndexCatalog:

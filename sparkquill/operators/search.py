@@ -87,7 +87,7 @@ def scores(index: Index, query: str | BM25Query | Resolved) -> DataFrame:
     for t in r.terms:
         by_field[t.field].add(t.term)
         weight[t.field, t.term] += t.count * t.weight
-    own = _literals(index.postings, by_field)
+    own = _literals(index.postings, by_field)  # of an index that is not stored, the terms reach the tokens
     k1, b = spec.k1, spec.b
     if index.part:
         terms = spark.createDataFrame([(f, t, w * spec.weight(f)) for (f, t), w in sorted(weight.items())], "field_idx int, term string, w double")
@@ -99,8 +99,7 @@ def scores(index: Index, query: str | BM25Query | Resolved) -> DataFrame:
         hits = own.join(facts, ["part", "field_idx", "term"])
         part = F.col("w") * tf_col(F.col("tf"), F.col("dlq"), F.col("avg"), k1, b)
     else:
-        stats = index.stats
-        found = {(x["field_idx"], x["term"]): x["df"] for x in _literals(index.terms, by_field).collect()}  # the query's terms
+        stats, found = index.facts(by_field)
         facts = [(f, t, float(idf(stats.n_docs, found[f, t]) * w * spec.weight(f)), float(stats.average(f))) for (f, t), w in sorted(weight.items()) if (f, t) in found and stats.average(f) > 0]
         if not facts:
             return index.postings.where(F.lit(False)).select("doc_id", F.lit(0.0).alias("score"))
@@ -177,13 +176,13 @@ def batch_scores(index: Index, queries: DataFrame, text_col: str = "text", id_co
     own = query_terms(index, queries, text_col, id_col)
     weights = F.element_at(F.array(*[F.lit(float(spec.weight(i))) for i in range(len(spec.fields))]), F.col("field_idx") + 1)
     average = F.element_at(F.array(*[F.lit(float(stats.average(i))) for i in range(len(spec.fields))]), F.col("field_idx") + 1)
-    if own.limit(BATCH_TERMS + 1).count() <= BATCH_TERMS:
-        own = F.broadcast(own)
-    else:
-        own = own.repartition("field_idx", "term")
+    small = own.limit(BATCH_TERMS + 1).count() <= BATCH_TERMS
+    keys = own.select("field_idx", "term").distinct()
+    own = F.broadcast(own) if small else own.repartition("field_idx", "term")
     df = index.terms.join(own.select("field_idx", "term").distinct(), ["field_idx", "term"], "left_semi")
     facts = own.join(df, ["field_idx", "term"]).select("query_id", "field_idx", "term", (idf_col(F.lit(stats.n_docs), F.col("df")) * F.col("qf") * weights).alias("w"), average.alias("avg"))
-    hits = index.postings.select("field_idx", "term", "doc_id", "tf", "dlq").join(facts, ["field_idx", "term"])
+    own = index.postings_of(keys) if small else index.postings.select("field_idx", "term", "doc_id", "tf", "dlq")
+    hits = own.join(facts, ["field_idx", "term"])
     return hits.groupBy("query_id", "doc_id").agg(_total(F.col("w") * tf_col(F.col("tf"), F.col("dlq"), F.col("avg"), spec.k1, spec.b)).alias("score"))
 
 
