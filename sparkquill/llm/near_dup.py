@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, buffers, in_groups, lookup, mix, rolling, saved, table, word_hashes, words
+from .common import LOWER, buffers, in_groups, lookup, mix, release, rolling, saved, table, word_hashes, words
 
 SHINGLE = 5
 TUPLE, SIDE = 6, 30
 #: Percent of the union that the intersection must reach.
 PERCENT = 85
 #: Sets in a block of a large cluster, about.
-BLOCK = 512
+BLOCK = 256
 _RNG = np.random.Generator(np.random.PCG64(977))
 _A = (_RNG.integers(0, 2**31, 2 * TUPLE * SIDE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)).astype(np.uint32)
 _B = _RNG.integers(0, 2**32, 2 * TUPLE * SIDE, dtype=np.uint32)
@@ -91,6 +91,7 @@ def _signatures(batches):
                 [b.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), full(f[0]).take(pick), full(f[1]).take(pick), side(keys[:, :SIDE]).take(pick), side(keys[:, SIDE:]).take(pick)],
                 ["doc", "n", "f1", "f2", "left", "right"],
             )
+    release()
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -199,11 +200,12 @@ def _set_bytes(batches):
         for i, j in in_groups(off):
             runs, at = shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i])
             yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([runs[at[x] : at[x + 1]].tobytes() for x in range(j - i)], pa.binary())], ["doc", "set"])
+    release()
 
 
 def _verified(spark: SparkSession, rows: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
     """Verified links (a, b) of the pairs that rows (doc, cluster, block, i, j) name: block i against block j of a cluster."""
-    bundles = max(1, n // 200)
+    bundles = max(1, n // 100)
     bundle = F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(bundles)).cast("int").alias("bundle")
     return saved(spark, rows.join(sets, "doc").select("*", bundle).groupBy("bundle").applyInArrow(_verify(percent), _LINKS), "links")
 
