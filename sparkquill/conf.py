@@ -13,15 +13,14 @@ _RANGES = {
     "max_fuzzy_distance": (1, 4),
     "min_fuzzy_term_len": (1, 64),
     "segments_per_level": (2, 64),
-    "bulk_load_threshold": (0, 2**31 - 1),
 }
 
 
 @dataclass(frozen=True)
 class SearchConf:
     """default_limit: rows of a search that names no k. max_*_expansions: terms that a prefix or fuzzy clause may become.
-    segments_per_level: segments that a level holds before they are merged. bulk_load_threshold: documents of a streamed
-    batch from which on it becomes a segment of its own instead of waiting in the pending table."""
+    max_fuzzy_distance: the largest edit distance that a query may ask for. segments_per_level: segments that a level holds
+    before they are merged."""
 
     default_limit: int = 1000
     max_prefix_expansions: int = 50
@@ -29,7 +28,6 @@ class SearchConf:
     max_fuzzy_distance: int = 2
     min_fuzzy_term_len: int = 3
     segments_per_level: int = 8
-    bulk_load_threshold: int = 100_000
 
     def __post_init__(self):
         for f in fields(self):

@@ -17,8 +17,8 @@ from ..errors import QuillError
 from . import stopwords
 from .stem import STEMMERS, stem
 
-#: Host limits that analysis keeps: the largest position, and the longest term in bytes.
-MAX_POSITION, MAX_TERM_BYTES = 16383, 2046
+#: The longest term in bytes; longer words are no terms and take no position. Positions have no limit.
+MAX_TERM_BYTES = 2046
 WORD = "[\\p{L}\\p{N}_]+"
 STOP = {"english": stopwords.ENGLISH, "french": stopwords.FRENCH, "german": stopwords.GERMAN, "spanish": stopwords.SPANISH}
 CONFIGS = ("simple", *STEMMERS)
@@ -53,7 +53,7 @@ def analyze(config: str, text: str | None) -> list[tuple[str, int]]:
             if w in STOP[config]:
                 continue
             w = stem(config, w)
-        out.append((w, min(at, MAX_POSITION)))
+        out.append((w, at))
     return out
 
 
@@ -72,7 +72,7 @@ def tokens_col(config: str, text: Column) -> Column:
     check_config(config)
     if config == "simple":
         words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0)), lambda w: F.octet_length(w) <= MAX_TERM_BYTES)
-        return F.transform(words, lambda w, i: F.struct(w.alias("term"), F.least(i + 1, F.lit(MAX_POSITION)).cast("int").alias("pos")))
+        return F.transform(words, lambda w, i: F.struct(w.alias("term"), (i + 1).cast("int").alias("pos")))
 
     @F.pandas_udf(TOKENS)
     def run(texts: pd.Series) -> pd.Series:

@@ -17,17 +17,22 @@ def summarize(index: Index) -> DataFrame:
     sums = [F.count(F.lit(1)).alias("n_terms"), F.sum("df").alias("n_postings"), F.sum("tf").alias("n_tokens"), F.max("df").alias("max_df")]
     terms = postings.groupBy(*by).agg(*sums) if by else postings.agg(*sums)
     stats = index.stats_table.select(*by, "n_docs", "total_len", (F.col("total_len") / F.col("n_docs")).alias("avg_len"))
+    none = F.lit(0).cast("long")
+    terms, stats = (df.withColumns({c: F.coalesce(c, none) for c in df.columns if c not in (*by, "avg_len")}) for df in (terms, stats))
     both = stats.join(terms, by) if by else stats.crossJoin(F.broadcast(terms))  # one row by one row
     s = index.spec
     return both.withColumns({"k1": F.lit(s.k1), "b": F.lit(s.b), "text_config": F.lit(s.text_config), "fields": F.lit(",".join(s.names))})
 
 
 def dump(index: Index, limit: int | None = None) -> DataFrame:
-    """(field, term, df, postings) in dictionary order: the postings of a term as an array of structs."""
+    """(field, term, df, doc_id, tf, positions) in dictionary order: a row for each posting, so no term is too frequent. limit:
+    of terms."""
     names = F.element_at(F.array(*[F.lit(n) for n in index.spec.names]), F.col("field_idx") + 1)
-    out = index.postings.groupBy("field_idx", "term").agg(F.count(F.lit(1)).alias("df"), F.array_sort(F.collect_list(F.struct("doc_id", "tf", "positions"))).alias("postings"))
-    out = out.orderBy("field_idx", "term").select(names.alias("field"), "term", "df", "postings")
-    return out if limit is None else out.limit(limit)
+    terms = index.terms.groupBy("field_idx", "term").agg(F.sum("df").alias("df"))
+    if limit is not None:
+        terms = terms.orderBy("field_idx", "term").limit(limit)
+    out = index.postings.join(terms, ["field_idx", "term"]).orderBy("field_idx", "term", "doc_id")
+    return out.select(names.alias("field"), "term", "df", "doc_id", "tf", "positions")
 
 
 def memory_usage(index: Index) -> DataFrame:

@@ -269,6 +269,18 @@ def build_index(df: DataFrame, spec: IndexSpec) -> Index:
     return Index(spec, lengths.where("dl > 0"), postings, df, lengths, sized)
 
 
+def build_inherited(parent: DataFrame, children: list[DataFrame], spec: IndexSpec) -> Index:
+    """One index over a table and tables that inherit from it. Columns are matched by name, in any order; those of a child that
+    the parent has not are left out, and each child must have the parent's."""
+    out = parent
+    for c in children:
+        lacking = [n for n in parent.columns if n not in c.columns]
+        if lacking:
+            raise QuillError(f"a child has no column {', '.join(lacking)}")
+        out = out.unionByName(c.select(*parent.columns))
+    return build_index(out, spec)
+
+
 class IndexCatalog:
     """Indexes by name or schema.name; names fold to lower case unless quoted."""
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..conf import SearchConf
-from ..errors import QuerySyntaxError
+from ..errors import QuerySyntaxError, QuillError
 from ..functions import fuzzy as fz
 from ..functions.analysis import analyze, normalise_word
 from . import grammar as g
@@ -88,6 +88,8 @@ def resolve(query: BM25Query, fields: list[str], config: str, terms: DataFrame,
         out.terms = [Term(0, t, n) for t, n in Counter(t for t, _ in analyze(config, query.text)).items()]
         return out
     distance = query.fuzzy or 0
+    if distance > conf.max_fuzzy_distance:
+        raise QuillError(f"the fuzzy distance must be at most {conf.max_fuzzy_distance}")
     for c in g.parse(query.text):
         if c.field is not None:
             if len(fields) == 1:

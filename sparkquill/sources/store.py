@@ -2,7 +2,7 @@
 
     root/segments/<id>/docs, root/segments/<id>/postings     parquet, postings sorted by (field_idx, term, doc_id)
     root/tombstones/<id>                                     (doc_id, segments up to this number are meant)
-    root/manifest/<version>                                  one JSON row; the largest version counts
+    root/manifest/<version>                                  one JSON file; the largest version counts
 
 Every path goes through Spark, so any file system that Spark knows will do. A writer first writes data, then a manifest:
 a crash leaves unreferenced files and the state before. When a level has segments_per_level segments they are merged into
@@ -12,6 +12,7 @@ one of the next level; merging drops deleted documents and recounts everything.
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,16 @@ from ..errors import QuillError
 from ..operators.index import Index, IndexSpec, build_index
 
 
+def working_root(spark: SparkSession) -> str:
+    """A folder that driver and executors share: that of spark.checkpoint.dir; on one machine a temporary one, if it is unset."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise QuillError("spark.checkpoint.dir must name a shared folder")
+        base = "file://" + tempfile.mkdtemp(prefix="sparkquill-")
+    return f"{base.rstrip('/')}/index-{uuid.uuid4().hex}"
+
+
 class IndexStore:
     def __init__(self, spark: SparkSession, root: str, spec: IndexSpec):
         self.spark, self.root, self.spec = spark, root.rstrip("/"), spec
@@ -40,20 +51,29 @@ class IndexStore:
         if not fs.exists(at):
             return {"version": 0, "next": 0, "segments": [], "tombstones": []}
         versions = [int(s.getPath().getName()) for s in fs.listStatus(at) if s.getPath().getName().isdigit()]
-        if not versions:
-            return {"version": 0, "next": 0, "segments": [], "tombstones": []}
-        return json.loads(self.spark.read.text(f"{self.root}/manifest/{max(versions)}").first()[0])
+        for v in sorted(versions, reverse=True):
+            lines = [r[0] for r in self.spark.read.text(f"{self.root}/manifest/{v}").collect()]
+            try:
+                return json.loads("\n".join(lines))
+            except ValueError:  # another writer is about to write it
+                continue
+        return {"version": 0, "next": 0, "segments": [], "tombstones": []}
 
     def _commit(self, manifest: dict) -> None:
-        """Publish by rename; a writer that lost a race fails here."""
+        """Publish: the file of the next version is created, which only one writer can do; another one fails here."""
+        from py4j.protocol import Py4JJavaError
+
         manifest = {**manifest, "version": self.manifest["version"] + 1}
-        draft = f"draft-{uuid.uuid4().hex}"
-        self.spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{self.root}/{draft}")
-        fs = self._fs()
+        fs, data = self._fs(), bytearray(json.dumps(manifest).encode())
         fs.mkdirs(self._path("manifest"))
-        target = self._path(f"manifest/{manifest['version']}")
-        if fs.exists(target) or not fs.rename(self._path(draft), target):
-            raise QuillError("another writer has changed the index")
+        try:
+            out = fs.create(self._path(f"manifest/{manifest['version']}"), False)
+        except Py4JJavaError as e:
+            if "exist" not in str(e.java_exception):
+                raise
+            raise QuillError("another writer has changed the index") from e
+        out.write(data)
+        out.close()
         self.manifest = manifest
 
     # ---- reading
@@ -130,8 +150,8 @@ class IndexStore:
         # the merged segment keeps the largest number of its sources, so that later tombstones still meet it
         seg["number"] = max(s["number"] for s in segments)
         manifest = {**self.manifest, "next": self.manifest["next"] + 1, "segments": sorted([*rest, seg], key=lambda s: s["number"])}
-        if not rest:
-            manifest["tombstones"] = [t for t in self.manifest["tombstones"] if t["before"] > manifest["next"]]
+        # the merged segment has left deleted documents out; a tombstone stays while another segment may still hold some
+        manifest["tombstones"] = [t for t in self.manifest["tombstones"] if any(s["number"] < t["before"] for s in rest)]
         self._commit(manifest)
 
     def compact(self) -> int:
