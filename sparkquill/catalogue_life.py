@@ -57,7 +57,7 @@ def bm25_vacuum(spark, sf):
 @query("bm25_compaction", standard(WORDS, best(20)))
 def bm25_compaction(spark, sf):
     """Two segments a level: appending merges them, and scores stay."""
-    return rounded(search(_stored(spark, sf, 4, 2).open(), WORDS, 20))
+    return rounded(search(_stored(spark, sf, 2, 2).open(), WORDS, 20))
 
 
 @query("bm25_force_merge", f"WITH {corpus()} SELECT 1::BIGINT AS n_segments, (SELECT n FROM n)::BIGINT AS n_docs, (SELECT count(*) FROM tf)::BIGINT AS n_postings")
@@ -140,6 +140,12 @@ def bm25_sql_vector(spark, sf):
     return table(spark, sf, "benchmark").selectExpr("item_id", "to_bm25vector('items', 'simple', text) AS vector")
 
 
+@query("bm25_sql_builders", "SELECT item_id, text || '*' AS prefix, '\"' || text || '\"' AS phrase, '\"' || text || '*\"' AS phrase_prefix FROM benchmark")
+def bm25_sql_builders(spark, sf):
+    register_functions(spark)
+    return table(spark, sf, "benchmark").selectExpr("item_id", "bm25_prefix(text) AS prefix", "bm25_phrase(text) AS phrase", "bm25_phrase_prefix(text) AS phrase_prefix")
+
+
 @query("bm25_sql_query", "SELECT item_id, 'items:' || text AS query FROM benchmark")
 def bm25_sql_query(spark, sf):
     register_functions(spark)
@@ -152,9 +158,10 @@ _TOP = f"SELECT doc_id, text FROM documents JOIN (SELECT doc_id FROM sc ORDER BY
 _W = "[A-Za-z0-9_\\x{80}-\\x{10FFFF}]+"
 
 
-def _marks(columns: str, match: str, terms: str) -> str:
-    """Where words begin and end: sums of the lengths of the words and of what lies between them."""
-    return f"""WITH {corpus()}, {terms}, {scored()}, top AS ({_TOP}),
+def _marks(columns: str, match: str, terms: str | None) -> str:
+    """Where words begin and end: sums of the lengths of the words and of what lies between them. terms None: in all documents."""
+    top = "WITH top AS (SELECT doc_id, text FROM documents)," if terms is None else f"WITH {corpus()}, {terms}, {scored()}, top AS ({_TOP}),"
+    return f"""{top}
 w AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_W}')) AS word, unnest(string_split_regex(text, '{_W}')[1:len(regexp_extract_all(text, '{_W}'))]) AS gap, unnest(range(len(regexp_extract_all(text, '{_W}')))) AS i FROM top),
 p AS (SELECT doc_id, word, (sum(strlen(gap) + strlen(word)) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS stop FROM w)
 SELECT doc_id, {columns} FROM p WHERE {match} GROUP BY doc_id"""
@@ -167,6 +174,14 @@ def bm25_snippet_positions_query(spark, sf):
     return bm25_snippet_positions(index, rows, "anstin").select("doc_id", F.to_json("positions").alias("positions"))
 
 
+@query("bm25_sql_positions", _marks("""'[' || string_agg('{"start":' || (stop - strlen(word)) || ',"end":' || stop || '}', ',' ORDER BY stop) || ']' AS positions""", "lower(word) = 'the' OR starts_with(lower(word), 'anst')", None))
+def bm25_sql_positions(spark, sf):
+    """Over the whole table, with the query and the configuration as arguments."""
+    register_functions(spark)
+    found = table(spark, sf, "documents").selectExpr("doc_id", "bm25_snippet_positions(text, 'the anst*', 'simple') AS p")
+    return found.where("size(p) > 0").select("doc_id", F.to_json("p").alias("positions"))
+
+
 @query("bm25_headline_matches", _marks("string_agg(word || ':' || (stop - strlen(word)) || ':' || stop || ':prefix', ',' ORDER BY stop) AS matches", "starts_with(lower(word), 'anst')", "q AS (SELECT 0 AS f, term, 1.0 AS w FROM (SELECT DISTINCT term FROM tok WHERE starts_with(term, 'anst') ORDER BY term LIMIT 50))"))
 def bm25_headline_matches(spark, sf):
     index = docs_index(spark, sf)

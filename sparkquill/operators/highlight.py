@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +48,25 @@ def highlight_plan(index: Index, query: str | BM25Query, field: str) -> h.Plan:
     return h.Plan(spec.text_config, frozenset(exact), tuple(prefixes), tuple(phrases), spec.format(field))
 
 
+@lru_cache(maxsize=1024)
+def text_plan(config: str, query: str) -> h.Plan:
+    """A plan without an index: exact terms, prefixes and phrases of the query."""
+    exact, prefixes, phrases = set(), [], []
+    for c in g.parse(query):
+        if c.kind == g.TERM:
+            exact |= {t for t, _ in analyze(config, c.words[0])[:1]}
+        elif c.kind == g.PREFIX:
+            prefixes.append((_ascii_lower(c.words[0]), ()))
+        else:
+            last = c.kind == g.PHRASE_PREFIX
+            words = [w for part in c.words for w in ([part] if last and part is c.words[-1] else [x for x, _ in analyze("simple", part)])]
+            terms = [t for t in (normalise_word(config, w) for w in (words[:-1] if last else words)) if t is not None]
+            terms += [_ascii_lower(words[-1])] if last else []
+            if terms:
+                phrases.append((tuple(terms), last))
+    return h.Plan(config, frozenset(exact), tuple(prefixes), tuple(phrases))
+
+
 def snippet_col(plan: h.Plan, text: Column, **options) -> Column:
     h.snippet(plan, "", **options)  # options are checked before any task runs
 

@@ -1,7 +1,9 @@
 """SQL surface: temporary views of an index and scalar functions.
 
-register_functions gives SQL the text functions; register_index gives the tables <name>_docs, <name>_postings, <name>_terms and
-<name>_stats and the table function <name>_search(query, k) for plain queries on one field.
+register_functions gives SQL the text functions, the builders of queries, and highlights of a text under a configuration (the
+query is read with the grammar; no dictionary is at hand, so terms are exact, prefixes or phrases). register_index gives the
+tables <name>_docs, <name>_postings, <name>_terms, <name>_stats and <name>_summary, and the table function
+<name>_search(query, k) for plain queries on one field.
 """
 
 from __future__ import annotations
@@ -11,9 +13,11 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .errors import QuillError
-from .functions import analysis, fuzzy, markup
+from .functions import analysis, fuzzy, highlighting, markup
+from .operators.admin import summarize
+from .operators.highlight import HEADLINE, POSITIONS, text_plan
 from .operators.index import Index
-from .plans.query import BM25Vector, to_bm25query
+from .plans.query import BM25Vector, bm25_phrase, bm25_phrase_prefix, bm25_prefix, to_bm25query
 
 
 def register_functions(spark: SparkSession) -> list[str]:
@@ -41,7 +45,28 @@ def register_functions(spark: SparkSession) -> list[str]:
     def query(text: pd.Series, index: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else str(to_bm25query(t, i)) for t, i in zip(text, index, strict=True)])
 
-    found = {"osa_distance": osa, "html_to_text": html_text, "markdown_to_text": markdown_text, "bm25_terms": terms, "to_bm25vector": vector, "to_bm25query": query}
+    def builder(make):
+        @F.pandas_udf("string")
+        def build(x: pd.Series) -> pd.Series:
+            return x.map(lambda t: None if t is None else str(make(t)))
+
+        return build
+
+    @F.pandas_udf("string")
+    def snippet(text: pd.Series, query: pd.Series, config: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None or q is None else highlighting.snippet(text_plan(c, q), t) for t, q, c in zip(text, query, config, strict=True)])
+
+    @F.pandas_udf(POSITIONS)
+    def positions(text: pd.Series, query: pd.Series, config: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None or q is None else [{"start": a, "end": z} for a, z in highlighting.positions(text_plan(c, q), t)] for t, q, c in zip(text, query, config, strict=True)])
+
+    @F.pandas_udf(HEADLINE)
+    def headline(text: pd.Series, query: pd.Series, config: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([highlighting.headline(text_plan(c, q or ""), t) for t, q, c in zip(text, query, config, strict=True)], columns=["snippet", "positions", "matches"])
+
+    builders = {"bm25_prefix": builder(bm25_prefix), "bm25_phrase": builder(bm25_phrase), "bm25_phrase_prefix": builder(bm25_phrase_prefix)}
+    marks = {"bm25_snippet": snippet, "bm25_snippet_positions": positions, "bm25_headline": headline}
+    found = builders | marks | {"osa_distance": osa, "html_to_text": html_text, "markdown_to_text": markdown_text, "bm25_terms": terms, "to_bm25vector": vector, "to_bm25query": query}
     for name, f in found.items():
         spark.udf.register(name, f)
     return sorted(found)
@@ -51,7 +76,7 @@ def register_index(index: Index, name: str | None = None) -> str:
     name = name or index.spec.name
     if not name.isidentifier():
         raise QuillError(f"{name!r} is no SQL identifier")
-    for part, df in (("docs", index.docs), ("postings", index.postings), ("terms", index.terms), ("stats", index.stats_table)):
+    for part, df in (("docs", index.docs), ("postings", index.postings), ("terms", index.terms), ("stats", index.stats_table), ("summary", summarize(index))):
         df.createOrReplaceTempView(f"{name}_{part}")
     if len(index.spec.fields) == 1 and index.spec.text_config == "simple" and not index.part:
         k1, b = index.spec.k1, index.spec.b
