@@ -14,7 +14,7 @@ from .operators.index import IndexCatalog, build_index, build_inherited
 from .operators.search import Searcher, search
 from .plans.query import BM25Query
 from .sources.store import IndexStore, working_root
-from .sources.tables import table
+from .sources.tables import read, table, write
 from .sqlapi import register_functions, register_index
 from .streaming.ingest import ingest
 
@@ -152,6 +152,40 @@ def bm25_sql_query(spark, sf):
     return table(spark, sf, "benchmark").selectExpr("item_id", "to_bm25query(text, 'items') AS query")
 
 
+@query(
+    "bm25_binary",
+    f"WITH {corpus('SELECT item_id AS doc_id, 0 AS f, text FROM benchmark')}, v AS (SELECT doc_id AS item_id, 'items:{{' || string_agg(term || ':' || tf, ',' ORDER BY term) || '}}' AS vector FROM tf GROUP BY doc_id) "
+    "SELECT item_id, '03010000056974656D73' || hex(text) AS query_hex, 'items:' || text AS query, '01' || hex(vector) AS vector_hex, vector FROM benchmark JOIN v USING (item_id)",
+)
+def bm25_binary(spark, sf):
+    """Binary forms of queries and vectors, and what they are read back as."""
+    register_functions(spark)
+    own = table(spark, sf, "benchmark").selectExpr("item_id", "bm25query_to_bytes(text, 'items') AS q", "bm25vector_to_bytes(to_bm25vector('items', 'simple', text)) AS v")
+    return own.selectExpr("item_id", "hex(q) AS query_hex", "bm25query_from_bytes(q) AS query", "hex(v) AS vector_hex", "bm25vector_from_bytes(v) AS vector")
+
+
+@query("bm25_has_grammar", r"""SELECT conv_id, turn, regexp_matches(text, '[":*()]') AS plain, true AS starred FROM conversations""")
+def bm25_has_grammar(spark, sf):
+    register_functions(spark)
+    return table(spark, sf, "conversations").selectExpr("conv_id", "turn", "bm25_has_grammar(text) AS plain", "bm25_has_grammar(concat(text, ' x*')) AS starred")
+
+
+_FORMATS = ("parquet", "orc", "json", "csv", "tsv")
+
+
+@query("bm25_formats", " UNION ALL ".join(f"SELECT '{x}' AS format, count(*)::BIGINT AS n, sum(length(t))::BIGINT AS n_chars, count(DISTINCT t)::BIGINT AS n_texts FROM (SELECT regexp_replace(text, '[\\\\\"\\s]', '.', 'g') AS t FROM documents)" for x in _FORMATS))
+def bm25_formats(spark, sf):
+    """The documents on one line each, written and read back in every format."""
+    out, docs = None, table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", r'[\\"\s]', ".").alias("text"))
+    for kind in _FORMATS:
+        path = working_root(spark)
+        write(docs, path, kind)
+        own = read(spark, path, kind, docs.schema).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("n_chars"), F.countDistinct("text").alias("n_texts"))
+        own = own.select(F.lit(kind).alias("format"), "n", "n_chars", "n_texts")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 # ---- highlights; offsets are bytes of UTF-8
 
 _TOP = f"SELECT doc_id, text FROM documents JOIN (SELECT doc_id FROM sc ORDER BY score, doc_id LIMIT {K}) USING (doc_id)"
@@ -174,6 +208,18 @@ def bm25_snippet_positions_query(spark, sf):
     return bm25_snippet_positions(index, rows, "anstin").select("doc_id", F.to_json("positions").alias("positions"))
 
 
+@query(
+    "bm25_sql_snippet",
+    f"""WITH t AS (SELECT conv_id, turn, regexp_extract_all(text, '{_W}') AS w, string_split_regex(text, '{_W}') AS g FROM conversations WHERE strlen(text) <= 150)
+SELECT conv_id, turn, CASE WHEN list_contains(list_transform(w, lambda x: lower(x)), 'the')
+  THEN array_to_string(list_transform(range(len(w)), lambda i: g[i + 1] || CASE WHEN lower(w[i + 1]) = 'the' THEN '<b>' || w[i + 1] || '</b>' ELSE w[i + 1] END), '') || g[len(g)] ELSE '' END AS snippet FROM t""",
+)
+def bm25_sql_snippet(spark, sf):
+    """Texts that fit into a snippet whole."""
+    register_functions(spark)
+    return table(spark, sf, "conversations").where("octet_length(text) <= 150").selectExpr("conv_id", "turn", "bm25_snippet(text, 'the', 'simple') AS snippet")
+
+
 @query("bm25_sql_positions", _marks("""'[' || string_agg('{"start":' || (stop - strlen(word)) || ',"end":' || stop || '}', ',' ORDER BY stop) || ']' AS positions""", "lower(word) = 'the' OR starts_with(lower(word), 'anst')", None))
 def bm25_sql_positions(spark, sf):
     """Over the whole table, with the query and the configuration as arguments."""

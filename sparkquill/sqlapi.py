@@ -17,7 +17,8 @@ from .functions import analysis, fuzzy, highlighting, markup
 from .operators.admin import summarize
 from .operators.highlight import HEADLINE, POSITIONS, text_plan
 from .operators.index import Index
-from .plans.query import BM25Vector, bm25_phrase, bm25_phrase_prefix, bm25_prefix, to_bm25query
+from .plans.grammar import has_grammar
+from .plans.query import BM25Query, BM25Vector, bm25_phrase, bm25_phrase_prefix, bm25_prefix, to_bm25query
 
 
 def register_functions(spark: SparkSession) -> list[str]:
@@ -64,9 +65,30 @@ def register_functions(spark: SparkSession) -> list[str]:
     def headline(text: pd.Series, query: pd.Series, config: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([highlighting.headline(text_plan(c, q or ""), t) for t, q, c in zip(text, query, config, strict=True)], columns=["snippet", "positions", "matches"])
 
+    @F.pandas_udf("binary")
+    def query_bytes(text: pd.Series, index: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else to_bm25query(t, i).to_bytes() for t, i in zip(text, index, strict=True)])
+
+    @F.pandas_udf("string")
+    def query_of_bytes(data: pd.Series) -> pd.Series:
+        return data.map(lambda b: None if b is None else str(BM25Query.from_bytes(bytes(b))))
+
+    @F.pandas_udf("binary")
+    def vector_bytes(value: pd.Series) -> pd.Series:
+        return value.map(lambda v: None if v is None else BM25Vector.parse(v).to_bytes())
+
+    @F.pandas_udf("string")
+    def vector_of_bytes(data: pd.Series) -> pd.Series:
+        return data.map(lambda b: None if b is None else str(BM25Vector.from_bytes(bytes(b))))
+
+    @F.pandas_udf("boolean")
+    def grammar(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: None if t is None else has_grammar(t))
+
+    binary = {"bm25query_to_bytes": query_bytes, "bm25query_from_bytes": query_of_bytes, "bm25vector_to_bytes": vector_bytes, "bm25vector_from_bytes": vector_of_bytes, "bm25_has_grammar": grammar}
     builders = {"bm25_prefix": builder(bm25_prefix), "bm25_phrase": builder(bm25_phrase), "bm25_phrase_prefix": builder(bm25_phrase_prefix)}
     marks = {"bm25_snippet": snippet, "bm25_snippet_positions": positions, "bm25_headline": headline}
-    found = builders | marks | {"osa_distance": osa, "html_to_text": html_text, "markdown_to_text": markdown_text, "bm25_terms": terms, "to_bm25vector": vector, "to_bm25query": query}
+    found = builders | marks | binary | {"osa_distance": osa, "html_to_text": html_text, "markdown_to_text": markdown_text, "bm25_terms": terms, "to_bm25vector": vector, "to_bm25query": query}
     for name, f in found.items():
         spark.udf.register(name, f)
     return sorted(found)

@@ -5,7 +5,7 @@ import pytest
 from sparkquill.conf import SearchConf
 from sparkquill.errors import QuillError
 from sparkquill.operators import admin
-from sparkquill.operators.index import IndexSpec, build_index
+from sparkquill.operators.index import IndexSpec, build_index, build_inherited
 from sparkquill.operators.search import search
 from sparkquill.plans.query import BM25Query
 from sparkquill.sources.store import IndexStore
@@ -79,3 +79,52 @@ def test_tables(spark, tmp_path):
     qs = {1: BM25Query("a", "i", True), 2: BM25Query("b", fuzzy=2)}
     store_queries(spark, qs).write.parquet(f"{tmp_path}/q")
     assert load_queries(spark.read.parquet(f"{tmp_path}/q")) == qs
+
+
+def test_two_writers(spark, tmp_path):
+    """The writer that comes second fails and leaves the first one's state."""
+    root = f"file://{tmp_path}/i"
+    one, two = IndexStore(spark, root, SPEC), IndexStore(spark, root, SPEC)
+    one.append(frame(spark, range(4)))
+    with pytest.raises(QuillError, match="another writer"):
+        two.append(frame(spark, range(4, 8)))
+    assert found(IndexStore(spark, root, SPEC).open()) == found(build_index(frame(spark, range(4)), SPEC))
+    (tmp_path / "i" / "manifest" / "2").touch()  # a manifest that is not yet written does not count
+    assert IndexStore(spark, root, SPEC).manifest["version"] == 1
+
+
+def test_tombstones_go(spark, tmp_path):
+    store = IndexStore(spark, f"file://{tmp_path}/i", SPEC)
+    store.append(frame(spark, range(4)))
+    store.delete(spark.createDataFrame([(1,)], "id long"))
+    store.append(frame(spark, range(4, 6)))
+    assert store.manifest["tombstones"]
+    store.force_merge()
+    assert not store.manifest["tombstones"] and found(store.open()) == found(build_index(frame(spark, [0, 2, 3, 4, 5]), SPEC))
+
+
+def test_inherited(spark):
+    parent = frame(spark, range(3))
+    child = frame(spark, range(3, 6)).selectExpr("text", "'x' more", "id")
+    assert found(build_inherited(parent, [child], SPEC)) == found(build_index(frame(spark, range(6)), SPEC))
+    with pytest.raises(QuillError, match="no column text"):
+        build_inherited(parent, [child.drop("text")], SPEC)
+
+
+def test_far_positions(spark):
+    """A phrase is found wherever it stands."""
+    text = " ".join(f"v{i % 7}" for i in range(17_000)) + " red car v1"
+    index = build_index(spark.createDataFrame([(1, text), (2, "red v0 car")], "id long, text string"), SPEC)
+    assert [i for i, _ in found(index, BM25Query('"red car"', grammar=True))] == [1]
+    assert found(index, BM25Query('"car red"', grammar=True)) == []
+
+
+def test_fuzzy_limit(spark):
+    with pytest.raises(QuillError, match="at most 2"):
+        search(build_index(frame(spark, range(3)), SPEC), BM25Query("w1", fuzzy=3))
+
+
+def test_sql_highlights(spark):
+    register_functions(spark)
+    r = spark.sql("SELECT bm25_snippet('a fox ran', 'fox', 'simple') a, bm25_snippet_positions('foxes ran', 'fox*', 'simple') b, bm25_headline('a red fox', '\"red fox\"', 'english').matches[0].match_type c, bm25_snippet(null, 'x', 'simple') d, bm25_phrase_prefix('red f') e").first()
+    assert r.a == "a <b>fox</b> ran" and [tuple(x) for x in r.b] == [(0, 5)] and r.c == "phrase" and r.d is None and r.e == '"red f*"'
