@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import analysis
 from .operators import admin
-from .operators.highlight import bm25_headline, bm25_snippet
+from .operators.highlight import bm25_snippet
 from .operators.index import Index, IndexSpec, build_index
 from .operators.search import batch_scores, facets, more_like_this, score_all, score_text, scores, search, search_batch
 from .plans.query import BM25Query, bm25_phrase, bm25_phrase_prefix, bm25_prefix
@@ -504,10 +504,4 @@ def bm25_snippet_query(spark, sf):
     return bm25_snippet(index, rows, "anstin").select("doc_id", "snippet")
 
 
-@query("bm25_headline")
-def bm25_headline_query(spark, sf):
-    index, rows = _found(spark, sf)
-    return bm25_headline(index, rows, "anst*").select("doc_id", F.to_json("headline").alias("headline"))
-
-
 from . import catalogue_life  # noqa: E402, F401  it registers its queries here
