@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, buffers, in_groups, lookup, mix, release, rolling, saved, table, word_hashes, words
+from .common import LOWER, buffers, in_groups, lookup, mix, release, rolling, saved, small_batches, table, word_hashes, words
 
 SHINGLE = 5
 TUPLE, SIDE = 6, 30
@@ -207,7 +207,8 @@ def _verified(spark: SparkSession, rows: DataFrame, sets: DataFrame, n: int, per
     """Verified links (a, b) of the pairs that rows (doc, cluster, block, i, j) name: block i against block j of a cluster."""
     bundles = max(1, n // 100)
     bundle = F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(bundles)).cast("int").alias("bundle")
-    return saved(spark, rows.join(sets, "doc").select("*", bundle).groupBy("bundle").applyInArrow(_verify(percent), _LINKS), "links")
+    with small_batches(spark):
+        return saved(spark, rows.join(sets, "doc").select("*", bundle).groupBy("bundle").applyInArrow(_verify(percent), _LINKS), "links")
 
 
 def _stars(best: DataFrame) -> DataFrame:
@@ -257,7 +258,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     known = own.where("doc is not null")
-    signed = saved(spark, known.mapInArrow(_signatures, _SIGNATURES), "signatures")
+    with small_batches(spark):
+        signed = saved(spark, known.mapInArrow(_signatures, _SIGNATURES), "signatures")
     # equal sets: the smallest document stands for all; a document that has several sets may stand for several
     same = signed.where("n > 0").groupBy("f1", "f2", "n")
     alone = saved(spark, same.agg(F.min("doc").alias("rep"), F.first("left").alias("left"), F.first("right").alias("right")), "distinct-sets")
@@ -270,7 +272,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     texts = lookup(known, cluster.select("doc"), ["doc"], n)
     if signed.where("n > 0").groupBy("doc").count().where("count > 1").limit(1).count():
         texts = texts.groupBy("doc", F.xxhash64("text").alias("h"), F.length("text").alias("k")).agg(F.first("text").alias("text")).select("doc", "text")
-    sets = saved(spark, texts.mapInArrow(_set_bytes, "doc long, set binary"), "member-sets")
+    with small_batches(spark):
+        sets = saved(spark, texts.mapInArrow(_set_bytes, "doc long, set binary"), "member-sets")
     # the tie in most buckets, of several the smallest
     best = ties.groupBy("a").agg(F.max(F.struct("c", (-F.col("b")).alias("b"))).alias("m")).select("a", (-F.col("m.b")).alias("hub"))
     star = _verified(spark, _stars(saved(spark, best, "stars")), sets, n, percent)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, buffers, release, table
+from .common import LOWER, buffers, release, saved, small_batches, table
 
 #: n-gram lengths in bytes, hash bits, most labelled rows of each class, passes and step of the fit.
 GRAMS = (4, 6)
@@ -165,7 +165,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
         release()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    with small_batches(spark):  # holds for what runs within
+        return saved(spark, own.mapInArrow(run, "doc_id long, score double"), "toxicity-scores")
 
 
 def held_out(column: str = "doc_id"):
@@ -202,4 +204,5 @@ def rejected(docs: DataFrame, model: Model, bar: float = 0.5) -> DataFrame:
             yield b.filter(pa.array([m.score(_present(buf[off[i] : off[i + 1]], stamp)) < bar for i in range(len(off) - 1)], pa.bool_()))
         release()
 
-    return docs.mapInArrow(run, docs.schema)
+    with small_batches(spark):
+        return saved(spark, docs.mapInArrow(run, docs.schema), "toxicity-kept")
