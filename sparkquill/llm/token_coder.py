@@ -264,16 +264,21 @@ def _lanes(n: int) -> tuple[int, int]:
     return -(-n // steps), min(steps, n)
 
 
+def _narrow(size: int) -> type:
+    """The type of numbers below size; most vocabularies fit two bytes."""
+    return np.uint16 if size <= 1 << 16 else np.uint32
+
+
 def _encode_block(ids: np.ndarray) -> bytes:
-    own, listed = ids.astype(np.uint32, copy=False), b""
+    own, listed = ids.astype(_narrow(int(ids.max()) + 1), copy=False), b""
     alphabet = int(own.max()) + 1
     if alphabet > DENSE:
         known, own = np.unique(own, return_inverse=True)
-        own = own.astype(np.uint32)
+        own = own.astype(_narrow(len(known)))
         alphabet, listed = len(known), zlib.compress(known.astype("<u4").tobytes(), 6)
     lanes, steps = _lanes(len(own))
     last = len(own) - (lanes - 1) * steps
-    grid = np.zeros((steps, lanes), np.uint32)
+    grid = np.zeros((steps, lanes), own.dtype)
     grid[:, : lanes - 1] = own[: (lanes - 1) * steps].reshape(lanes - 1, steps).T
     grid[:last, lanes - 1] = own[(lanes - 1) * steps :]
     model, coder = _Model(lanes, alphabet, len(own), False), _Coder(lanes)
@@ -307,7 +312,7 @@ def _decode_block(data: bytes, count: int) -> np.ndarray:
     raw = np.zeros((lanes, int(sizes.max()) + 2), np.uint32)
     raw[np.arange(raw.shape[1]) < sizes[:, None]] = words_
     model, coder = _Model(lanes, alphabet, count, True), _Coder(lanes, raw)
-    grid = np.zeros((steps, lanes), np.uint32)
+    grid = np.zeros((steps, lanes), _narrow(alphabet))
     last = count - (lanes - 1) * steps
     for t in range(steps):
         n = lanes if t < last else lanes - 1
@@ -377,10 +382,11 @@ def _shared_cache(path: str) -> WordCache:
 
 
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "'<")
-_IS_PUNCTUATION, _IS_ALNUM, _IS_ODD = (np.zeros(256, bool) for _ in range(3))
+#: Most signs that are split off a word.
+_TAIL = 64
+_IS_PUNCTUATION, _IS_ALNUM = np.zeros(256, bool), np.zeros(256, bool)
 _IS_PUNCTUATION[list(_PUNCTUATION)] = True
 _IS_ALNUM[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
-_IS_ODD[[ord("<"), *range(128, 256)]] = True
 
 
 class WordCache:
@@ -402,8 +408,8 @@ class WordCache:
         ids = lambda *texts: [i for t in texts for i in tokenizer.encode(t, add_special_tokens=False).ids]
         self.by_word = ids(self.PROBE) == ids(*self.PROBE.split())
         tails = [chr(c) for c in _PUNCTUATION]
-        tails += [x + y for x in tails for y in tails]
-        self.parts = self.by_word and all(ids(w.upper() + t, f"{w} {t}") == ids(w, t, w, t) for t in tails for w in ("ab", "it's", "x1"))
+        tries = [(w, t) for w in ("ab", "it's", "x1") for t in tails] + [("ab", x + y) for x in tails for y in tails]
+        self.parts = self.by_word and all(ids(w.upper() + t) == ids(w, t) for w, t in tries)
         vocabulary = tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids that end a run of letters
         self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
@@ -495,14 +501,22 @@ class WordCache:
         s, e, first = words(buf, off)
         if not self.parts or not len(s):
             return s, e, first, buf
-        at = np.arange(len(buf), dtype=np.int32)
-        before = np.maximum.accumulate(np.where(_IS_PUNCTUATION[buf], -1, at))[e - 1] + 1  # behind the last other byte
-        odd = np.concatenate([[0], np.cumsum(_IS_ODD[buf], dtype=np.int32)])
-        plain = odd[e] == odd[s]
-        cut = (before > s) & (before < e)
+        before = e.copy()  # where the punctuation at the end of each word begins
+        tail = np.flatnonzero(_IS_PUNCTUATION[buf[e - 1]])
+        for _ in range(_TAIL):
+            before[tail] -= 1
+            tail = tail[before[tail] > s[tail]]
+            tail = tail[_IS_PUNCTUATION[buf[before[tail] - 1]]]
+            if not len(tail):
+                break
+        cut = (before < e) & (before > s)
+        cut[tail] = False  # a longer run stays with its word
         cut &= _IS_ALNUM[buf[before - 1]]
+        plain = np.maximum.reduceat(buf, s) < 128  # what lies between words is ASCII
         if (buf == ord("<")).any():
-            cut &= plain
+            marks = np.concatenate([[0], np.cumsum(buf == ord("<"), dtype=np.int32)])
+            plain &= marks[e] == marks[s]
+            cut &= marks[e] == marks[s]
         extra = np.concatenate([[0], np.cumsum(cut)])
         place = np.arange(len(s)) + extra[:-1]
         out_s, out_e = np.empty(len(s) + extra[-1], np.int64), np.empty(len(s) + extra[-1], np.int64)
@@ -511,7 +525,7 @@ class WordCache:
         out_s[tail], out_e[tail] = before[cut], e[cut]
         # lower case, but in words with other letters
         low = LOWER[buf]
-        if odd[-1]:
+        if not plain.all():
             inside = np.zeros(len(buf) + 1, np.int8)
             inside[s[~plain]] = 1
             inside[e[~plain]] -= 1  # where the next text's word begins at once, both hold
@@ -629,7 +643,7 @@ def write_tokens(docs: DataFrame, path: str, end: int = END, order_by: tuple[str
                         if not total:
                             part, first = int(parts[a]), int(rows[a + i])
                         out, counts = cache_.texts(buf[off[i] : off[j]], off[i : j + 1] - off[i], end)
-                        held[0].append(out)
+                        held[0].append(out.astype(_narrow(int(out.max()) + 1)))
                         held[1].append(b.column(2).slice(i, j - i))
                         held[2].append(counts)
                         total += len(out)
