@@ -21,7 +21,7 @@ from .common import lookup, saved, table
 #: Words in a block.
 BLOCK_WORDS = 20_000
 #: Documents that one task orders at once, about.
-CHUNK_DOCS = 4096
+CHUNK_DOCS = 512
 #: Most slots of a period: the sum of all sources' weights.
 MOST_SLOTS = 1_000_000
 
@@ -65,7 +65,7 @@ def _placed(docs: DataFrame, weights: dict[str, int] | None, default: int, block
     weights = {s: (weights or {}).get(s, default) for s in sorted(sizes)}
     # prefix sums in two levels: within chunks of the order of keys, then over the chunks of a source
     digits = 1
-    while max(sizes.values(), default=0) > CHUNK_DOCS * 16**digits and digits < 8:
+    while max(sizes.values(), default=0) > CHUNK_DOCS * 16**digits and digits < 6:
         digits += 1
     # rows of equal source, id and text, if they are very many, have chunks of their own, behind the others of their prefix
     hot = slim.groupBy("__source", "__key").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > CHUNK_DOCS)

@@ -676,7 +676,7 @@ def test_pfair_of_many_sources():
     assert len(plan) == sum(weights.values()) and plan[0][1] == 0
 
 
-@pytest.mark.parametrize("chunk", [4096, 3])
+@pytest.mark.parametrize("chunk", [512, 3])
 def test_mixing(spark, hard, empty, monkeypatch, chunk):
     monkeypatch.setattr(mixing, "CHUNK_DOCS", chunk)
     more = [(7, "other text of a repeated id", "a"), *[(None, "equal rows without an id", "b")] * 20, (None, "another", "b")]
