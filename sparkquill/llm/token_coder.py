@@ -31,7 +31,7 @@ from .common import BROADCAST_ROWS, KEEP, LOWER, buffers, eights, in_groups, mix
 MAGIC = b"CMR2"
 BLOCK_IDS = 1 << 22
 #: Most lanes of a block, and the ids that a lane has at least (where there are so many).
-LANES, LANE_IDS = 4096, 256
+LANES, LANE_IDS = 8192, 256
 #: Ids up to this are coded as they are; a block with larger ones lists its ids.
 DENSE = 1 << 17
 #: Bits of the order-2 table, of a flag's and of an id's frequency total.
