@@ -8,18 +8,19 @@ and by its order-0 frequency) into the probability that the guess is right; then
 id that neither guesses is coded by its order-0 frequency. A 64-bit carry-less range coder takes all decisions. All that
 decoding depends on is integer arithmetic, so files do not depend on the machine.
 
-File format of a container: b"CMR2", u32 block count, then for each block u32 ids, u32 bytes, u32 CRC-32 of the block and
+File format of a container: b"CMR3", u32 block count, then for each block u32 ids, u32 bytes, u32 CRC-32 of the block and
 then its ids as little-endian u32, then the blocks. A block: u32 lanes, u32 alphabet, u32 bytes of a list of ids (0: none), that list
 (zlib, u32 each, ascending: ids are coded as places in it), u32 words of each lane, then the lanes' words.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import struct
 import zlib
-from functools import cache
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +29,14 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, KEEP, LOWER, buffers, eights, in_groups, mix, release, saved, small_batches, stored_bytes, table, words
 
-MAGIC = b"CMR2"
+MAGIC = b"CMR3"
 BLOCK_IDS = 1 << 22
 #: Most lanes of a block, and the ids that a lane has at least (where there are so many).
 LANES, LANE_IDS = 8192, 256
 #: Ids up to this are coded as they are; a block with larger ones lists its ids.
 DENSE = 1 << 17
 #: Bits of the order-2 table, of a flag's and of an id's frequency total.
-SLOT_BITS, _FLAG, _ID, _CELL = 20, 16, 24, 10
+SLOT_BITS, _FLAG, _ID, _CELL = 20, 16, 24, 8
 _U = np.uint64
 _LOW32 = _U(0xFFFFFFFF)
 
@@ -46,7 +47,8 @@ _SQUASH = np.array([min(65536 - 24, max(24, round(65536 / (1 + math.exp(-x / 256
 class _Coder:
     """All lanes' range coders. Encoding collects (lane, word) pairs; decoding reads data (a row of words a lane).
 
-    `at` names lanes: slice(0, n) for the first n, else an array of indices.
+    A step narrows every lane twice: by both guesses, then by the order-0 frequency, which is the whole range where a guess was
+    right. Arrays stay whole, for picking lanes out costs more than the arithmetic.
     """
 
     def __init__(self, lanes: int, data: np.ndarray | None = None):
@@ -56,45 +58,33 @@ class _Coder:
         self.words: list[np.ndarray] = []
         if data is not None:
             self.flat = data.ravel()
-            self.code = (data[:, 0].astype(_U) << _U(32)) | data[:, 1].astype(_U)
+            self.off = (data[:, 0].astype(_U) << _U(32)) | data[:, 1].astype(_U)  # what was read, less low
             self.place = np.arange(lanes, dtype=np.int64) * data.shape[1] + 2
 
-    def narrow(self, at, cum: np.ndarray, freq: np.ndarray, unit: np.ndarray) -> None:
-        """Code the interval [cum, cum + freq) of the lanes; unit: their ranges over the total."""
-        self._set(at, self.low[at] + unit * cum, unit * freq)
-
-    def flag(self, at, p: np.ndarray, hit: np.ndarray | None) -> np.ndarray:
-        """Code yes or no, or decode it if hit is None; p: the probability of yes, of 2**_FLAG."""
-        low, rng = self.low[at], self.range[at]
-        bound = (rng >> _U(_FLAG)) * p
-        if hit is None:
-            hit = self.code[at] - low < bound
-        rng -= bound
-        low += bound * ~hit
-        np.copyto(rng, bound, where=hit)
-        self._set(at, low, rng)
-        return hit
-
-    def _set(self, at, low: np.ndarray, rng: np.ndarray) -> None:
+    def add(self, n: int, below: np.ndarray) -> None:
+        """Leave out what lies below the interval of the first n lanes."""
+        self.low[:n] += below
+        if self.data is not None:
+            self.off[:n] -= below
+
+    def narrow(self, n: int, rng: np.ndarray) -> None:
+        """Set the ranges of the first n lanes; those that became small take or give a word."""
+        self.range[:n] = rng
         small = np.flatnonzero(rng <= _LOW32)
-        if len(small):
-            lanes = small if isinstance(at, slice) else at[small]
-            lo, r = low[small], rng[small]
-            top = lo >> _U(32)
-            cross = top != (lo + r) >> _U(32)  # the range straddles a word: give up its upper part
-            r = np.where(cross, (_U(0) - lo) & _LOW32, r)
-            if self.data is None:
-                self.lanes.append(lanes.astype(np.uint16))
-                self.words.append(top.astype(np.uint32))
-            else:
-                place = self.place[lanes]
-                self.code[lanes] = (self.code[lanes] << _U(32)) | self.flat.take(place, mode="clip").astype(_U)
-                self.place[lanes] = place + 1
-            low[small], rng[small] = lo << _U(32), r << _U(32)
-        self.low[at], self.range[at] = low, rng
-
-    def target(self, at, unit: np.ndarray) -> np.ndarray:
-        return (self.code[at] - self.low[at]) // unit
+        if not len(small):
+            return
+        lo, r = self.low.take(small), rng.take(small)
+        top = lo >> _U(32)
+        cross = top != (lo + r) >> _U(32)  # the range straddles a word: give up its upper part
+        r = np.where(cross, (_U(0) - lo) & _LOW32, r)
+        if self.data is None:
+            self.lanes.append(small.astype(np.uint16))
+            self.words.append(top.astype(np.uint32))
+        else:
+            place = self.place.take(small)
+            self.off[small] = (self.off.take(small) << _U(32)) + self.flat.take(place, mode="clip")
+            self.place[small] = place + 1
+        self.low[small], self.range[small] = lo << _U(32), r << _U(32)
 
     def finish(self) -> tuple[np.ndarray, np.ndarray]:
         """How many words each lane has, and the words, lane by lane."""
@@ -106,16 +96,17 @@ class _Coder:
 
 
 class _Mixer:
-    """The probability that a guess is right, for each joint context: 3 bits of one model's confidence, 3 of the other's,
-    1 of whether they agree, 5 of the guess's order-0 level. The hit rates by each of these are mixed in the logistic domain
-    with learned weights; what the joint context has seen itself refines the mix."""
+    """The probability that a guess is right, for each joint context: 5 bits of the guess's order-0 level when it was last
+    seen here, 3 of its model's confidence, 3 of the other's, 1 that is set where both agree (second guesses: where there is
+    nothing to code). The hit rates by each of these are mixed in the logistic domain with learned weights; what the joint
+    context has seen itself refines the mix."""
 
     SIZE = 1 << 12
 
-    def __init__(self):
+    def __init__(self, second: bool):
         j = np.arange(self.SIZE)
-        self.agree = (j >> 5) & 1
-        self.parts = [j >> 9 << 1 | self.agree, (j >> 6 & 7) << 1 | self.agree, (j & 31) << 1 | self.agree]
+        self.second, self.agree = second, j & 1
+        self.parts = [(j >> 4 & 7) << 1 | self.agree, (j >> 1 & 7) << 1 | self.agree, j >> 7 << 1 | self.agree]
         self.seen, self.hits = np.zeros(self.SIZE, np.int64), np.zeros(self.SIZE, np.int64)
         self.weights = np.full((2, 3), 30000, np.int64)  # of 65536
         self.held: list[np.ndarray] = []
@@ -128,27 +119,35 @@ class _Mixer:
             # sums of integers far below 2**53: exact in any order
             n = np.bincount(part, weights=self.seen, minlength=64).astype(np.int64)
             h = np.bincount(part, weights=self.hits, minlength=64).astype(np.int64)
-            stretched.append(_STRETCH[(((2 * h + 1) << 12) // (2 * n + 4))[part]])
+            stretched.append(_STRETCH[((2 * h + 1) << 12) // (2 * n + 4)][part])
         self.stretched = stretched
         dot = sum(s * self.weights[self.agree, i] for i, s in enumerate(stretched)) >> 16
         self.mixed = _SQUASH[np.clip(dot, -2047, 2047) + 2047]
         p = (self.mixed * 24 + (self.hits << _FLAG)) // (24 + self.seen)
         self.p = np.clip(p, 24, (1 << _FLAG) - 24).astype(_U)
+        if self.second:
+            self.p[1::2] = 0
+
+    def hold(self, joint: np.ndarray, hit: np.ndarray) -> None:
+        """Keep what was coded; of many lanes every fourth tells as much."""
+        by = 4 if len(joint) >= 1024 else 1
+        self.held.append((joint[::by] << np.uint32(1) | hit[::by]).astype(np.int16))
 
     def learn(self) -> None:
-        """Take in what has been coded since the last time."""
+        """Take in what has been kept since the last time."""
         if not self.held:
             return
         both = np.bincount(np.concatenate(self.held), minlength=2 * self.SIZE).reshape(-1, 2)
         self.held.clear()
+        if self.second:
+            both[1::2] = 0
         n, h = both.sum(1), both[:, 1]
         error = ((h << 12) - n * (self.mixed >> 4)).astype(np.int64)
         for a in (0, 1):
-            own = self.agree == a
-            total = int(n[own].sum())
+            total = int(n[a::2].sum())
             if total:
                 for i, s in enumerate(self.stretched):
-                    step = int((error[own] * s[own]).sum()) // total >> 6
+                    step = int((error[a::2] * s[a::2]).sum()) // total >> 6
                     self.weights[a, i] += max(-4000, min(4000, step))
         self.seen += n
         self.hits += h
@@ -165,10 +164,10 @@ class _Model:
         self.reading = reading
         self.prev, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         bits = min(SLOT_BITS, max(8, (2 * n).bit_length()))
-        self.shift = 40 - bits
-        # guess << 3 | how often it was right, 7 at most
-        self.one, self.two = np.zeros(alphabet, np.int32), np.zeros(1 << bits, np.int32)
-        self.first, self.second = _Mixer(), _Mixer()
+        self.shift = _U(64 - bits)
+        # guess << 8 | its level << 3 | how often it was right, 7 at most
+        self.one, self.two = np.zeros(alphabet, np.uint32), np.zeros(1 << bits, np.uint32)
+        self.first, self.second = _Mixer(False), _Mixer(True)
         self.counts, self.total, self.distinct = np.zeros(alphabet, np.int64), 0, 0
         self.fresh: list[np.ndarray] = []
         self.waiting = self.step = 0
@@ -186,10 +185,13 @@ class _Model:
             freq = np.full(size, 1 + mass // size, np.int64)
         self.cum = np.zeros(size + 1, np.int64)
         np.cumsum(freq, out=self.cum[1:])
-        self.freq = freq.astype(np.uint32)
+        self.spans = np.empty(size + 1, _U)  # cum << 32 | freq; behind the ids the whole range
+        self.spans[:size] = self.cum[:-1] << 32 | freq
+        self.spans[size] = 1 << _ID
         if self.reading:  # the id at the begin of each cell of frequencies
-            self.cells = np.searchsorted(self.cum, np.arange((1 << _ID - _CELL) + 2) << _CELL, "right") - 1
-        self.level = np.frexp(freq.astype(np.float64))[1].astype(np.int8)  # the bit length, exactly
+            cells = (1 << _ID - _CELL) + 2
+            self.cells = np.cumsum(np.bincount((self.cum[1:] + ((1 << _CELL) - 1)) >> _CELL, minlength=cells))
+        self.level = np.frexp(freq.astype(np.float64))[1].astype(np.uint32) << np.uint32(3)  # the bit length, exactly
 
     def learn(self, ids: np.ndarray) -> None:
         self.fresh.append(ids)
@@ -206,56 +208,64 @@ class _Model:
             self.second.learn()
 
 
-def _flag(mixer: _Mixer, coder: _Coder, at, joint: np.ndarray, hit: np.ndarray | None) -> np.ndarray:
-    hit = coder.flag(at, mixer.p.take(joint), hit)
-    mixer.held.append((joint << 1 | hit).astype(np.int16))
-    return hit
+def _order0(model: _Model, goal: np.ndarray) -> np.ndarray:
+    """The ids whose frequencies lie at these places."""
+    goal = np.minimum(goal, _U(int(model.cum[-1]) - 1)).astype(np.int64)
+    cell = goal >> _CELL
+    ids = model.cells.take(cell)
+    several = np.flatnonzero(model.cells.take(cell + 1) != ids)  # ids share the cell
+    ids[several] = np.searchsorted(model.cum, goal.take(several), "right") - 1
+    return ids
 
 
-def _order0(model: _Model, coder: _Coder, at: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-    unit = coder.range[at] >> _U(_ID)
-    if ids is None:
-        goal = np.minimum(coder.target(at, unit), _U(int(model.cum[-1]) - 1)).astype(np.int64)
-        cell = goal >> _CELL
-        ids = model.cells.take(cell)
-        several = np.flatnonzero(model.cells.take(cell + 1) != ids)  # ids share the cell
-        ids[several] = np.searchsorted(model.cum, goal[several], "right") - 1
-    coder.narrow(at, model.cum.take(ids).astype(_U), model.freq.take(ids).astype(_U), unit)
-    return ids
+def _entry(old: np.ndarray, sure: np.ndarray, hit: np.ndarray, fresh: np.ndarray, least: int) -> np.ndarray:
+    """A guess's entry after a step. One that was right often is given up after some misses only."""
+    kept = np.where(sure > least, old - np.uint32(least + 1), fresh)
+    return np.where(hit, fresh | np.minimum(sure + np.uint32(1), np.uint32(7)), kept)
 
 
 def _step(model: _Model, coder: _Coder, n: int, ids: np.ndarray | None) -> np.ndarray:
-    at = slice(0, n)
-    p, q = model.prev[at], model.before[at]
-    slot = ((p * 0x9E3779B1 + q * 0x85EBCA6B) & 0xFFFFFFFFFF) >> model.shift
+    p, q = model.prev[:n], model.before[:n]
+    slot = ((p.view(_U) * _U(0x9E3779B97F4A7C15) + q.view(_U) * _U(0xC2B2AE3D27D4EB4F)) >> model.shift).view(np.int64)
     e1, e2 = model.one.take(p), model.two.take(slot)
-    g1, g2, c1, c2 = e1 >> 3, e2 >> 3, e1 & 7, e2 & 7
+    g1, g2, c1, c2 = e1 >> np.uint32(8), e2 >> np.uint32(8), e1 & np.uint32(7), e2 & np.uint32(7)
     agree = g1 == g2
-    joint = c2 << 9 | c1 << 6 | agree.astype(np.int32) << 5 | model.level.take(g2)
-    hit = _flag(model.first, coder, at, joint, None if ids is None else ids == g2)
-    out = g2.astype(np.int64) if ids is None else ids
-    miss = ~hit
-    rest = np.flatnonzero(miss & ~agree)
-    if len(rest):
-        guess = g1[rest]
-        joint = c1[rest] << 9 | c2[rest] << 6 | model.level.take(guess)
-        one = _flag(model.second, coder, rest, joint, None if ids is None else ids[rest] == guess)
-        if ids is None:
-            out[rest] = guess
-        miss[rest[one]] = False
-    miss = np.flatnonzero(miss)
-    if len(miss):
-        found = _order0(model, coder, miss, None if ids is None else ids[miss])
-        if ids is None:
-            out[miss] = found
-    fresh = (out << 3).astype(np.int32)
-    # a guess that was right often is given up after some misses only
-    model.one[p] = np.where(g1 == out, np.minimum(e1 + 1, fresh | 7), np.where(c1 > 1, e1 - 2, fresh))
-    model.two[slot] = np.where(hit, np.minimum(e2 + 1, fresh | 7), np.where(c2 > 2, e2 - 3, fresh))
-    model.before[at] = p
-    model.prev[at] = out
-    model.learn(out)
-    return out
+    guesses = None if ids is None else ids.astype(np.uint32)
+    # is the order-2 guess right
+    joint = (e2 & np.uint32(255)) << np.uint32(4) | c1 << np.uint32(1) | agree
+    rng = coder.range[:n]
+    bound = (rng >> _U(_FLAG)) * model.first.p.take(joint)
+    hit = coder.off[:n] < bound if ids is None else guesses == g2
+    model.first.hold(joint, hit)
+    coder.add(n, bound * ~hit)
+    # is the order-1 guess, if it differs
+    joint = (e1 & np.uint32(255)) << np.uint32(4) | c2 << np.uint32(1) | (agree | hit)
+    rng = rng - bound
+    other = (rng >> _U(_FLAG)) * model.second.p.take(joint)
+    one = coder.off[:n] < other if ids is None else (guesses == g1) & ~(agree | hit)
+    model.second.hold(joint, one)
+    miss = ~(hit | one)
+    coder.add(n, other * miss)
+    coder.narrow(n, np.where(hit, bound, np.where(one, other, rng - other)))
+    # an id that nobody guesses
+    unit = coder.range[:n] >> _U(_ID)
+    whole = len(model.counts)
+    if ids is None:
+        rest = np.flatnonzero(miss)
+        found = _order0(model, coder.off.take(rest) // unit.take(rest))
+        ids = np.where(hit, g2, g1).astype(np.int64)
+        ids[rest] = found
+        guesses = ids.astype(np.uint32)
+    span = model.spans.take(np.where(miss, ids, whole))
+    coder.add(n, unit * (span >> _U(32)))
+    coder.narrow(n, unit * (span & _LOW32))
+    fresh = guesses << np.uint32(8) | model.level.take(ids)
+    model.one[p] = _entry(e1, c1, guesses == g1, fresh, 1)
+    model.two[slot] = _entry(e2, c2, hit, fresh, 2)
+    model.before[:n] = p
+    model.prev[:n] = ids
+    model.learn(ids)
+    return ids
 
 
 def _lanes(n: int) -> tuple[int, int]:
@@ -375,6 +385,30 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: How a tokenizer may prepare texts if words of a-z, parted by spaces, reach its BPE model as they are.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLITS = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+@cache
+def _plain_tokenizer(path: str):
+    """The tokenizer for words of a-z, parted by single spaces: without the steps that leave these as they are. None: not for it."""
+    from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import CharDelimiterSplit
+
+    made = json.loads(_tokenizer(path).to_str())
+    added = [x["content"] for x in made["added_tokens"]]
+    if made["normalizer"] != {"type": "Sequence", "normalizers": _NORMALIZERS} or made["pre_tokenizer"] != {"type": "Sequence", "pretokenizers": _SPLITS} or not all("<" in x for x in added):
+        return None
+    made |= {"normalizer": None, "pre_tokenizer": None}
+    plain = Tokenizer.from_str(json.dumps(made))
+    plain.pre_tokenizer = CharDelimiterSplit(" ")
+    return plain
+
+
 @cache
 def _shared_cache(path: str) -> WordCache:
     """One cache for all tasks that a Python worker runs."""
@@ -389,6 +423,11 @@ _IS_PUNCTUATION[list(_PUNCTUATION)] = True
 _IS_ALNUM[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
 
 
+def _word_key(low: np.ndarray, high: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A hash of words of up to 16 bytes."""
+    return mix(mix(low ^ n.astype(np.uint64) << np.uint64(59)) ^ high)
+
+
 class WordCache:
     """Encodes texts word by word: each distinct word is encoded once by the library, and texts are put together from these.
 
@@ -397,7 +436,7 @@ class WordCache:
     as a-z, the punctuation at the end of a word counts as a word of its own, and words of ASCII letters are looked up in
     lower case (words with "<", which special tokens begin with, are left whole). A word of up to 16 bytes is known by its
     bytes (two numbers), found by a hash and compared in full; longer words are keys of a dictionary. The memory is bounded:
-    a full cache begins anew.
+    a full cache keeps the half that came first, for frequent words come early.
     """
 
     PROBE = "Ab cd,\tab  it's 1 2\nÉ<x> ab"
@@ -426,23 +465,39 @@ class WordCache:
         self.long: dict[bytes, tuple[int, int]] = {}
         self.long_bytes = 0
 
+    def _make_room(self, words_: int) -> None:
+        """Drop the later half, or all if so many words might not fit beside the rest."""
+        keep = min(self.most // 2, int(np.searchsorted(self.start[: self.n], self.most_ids // 2)))
+        if keep + words_ > self.most:
+            keep = 0
+        old, n, ids = [x[:keep].copy() for x in (self.low, self.high, self.bytes, self.start, self.size)], self.n, self.ids
+        end = int(self.start[keep]) if keep < n else self.n_ids
+        self._clear()
+        if keep:
+            for x, y in zip((self.low, self.high, self.bytes, self.start, self.size), old, strict=True):
+                x[:keep] = y
+            self._store(ids[1:end])
+            self.n = keep
+            self._place(_word_key(*old[:3]), np.arange(keep))
+
     def _encode(self, fresh: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
         """An order of the words, and in that order the number of ids of each and all ids."""
-        letters = [w.isalpha() for w in fresh]
+        plain = _plain_tokenizer(self.path)
+        kinds = [w.isalpha() and (1 if plain is None or not w.isascii() or not w.islower() else 2) for w in fresh]
         order, sizes, flats = [], [], []
-        for kind, run in ((True, self._letters), (False, self._marked)):
-            keys = [k for k, x in enumerate(letters) if x is kind]
+        for kind, run in ((2, partial(self._letters, plain)), (1, partial(self._letters, _tokenizer(self.path))), (0, self._marked)):
+            keys = [k for k, x in enumerate(kinds) if x == kind]
             # few words at a time: the library's results take far more memory than the ids in them
-            for i in range(0, len(keys), 4000):
-                size, flat = run([fresh[k] for k in keys[i : i + 4000]])
+            for i in range(0, len(keys), 1000):
+                size, flat = run([fresh[k] for k in keys[i : i + 1000]])
                 sizes.append(size)
                 flats.append(flat)
             order += keys
         return order, np.concatenate(sizes), np.concatenate(flats)
 
-    def _letters(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _letters(self, tokenizer, fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Words of letters only, apart by spaces; the last id of each tells where it ends. If that does not add up: as others."""
-        flat = np.array(_tokenizer(self.path).encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0].ids, np.uint32)
+        flat = np.array(tokenizer.encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(self.last[flat])
         if len(ends) != len(fresh) or ends[-1] != len(flat) - 1:
             return self._marked(fresh)
@@ -489,6 +544,10 @@ class WordCache:
         self.low[e], self.high[e], self.bytes[e], self.size[e] = low, high, n, size
         self.start[e] = at + np.cumsum(size) - size
         self.n += len(h)
+        self._place(h, e)
+
+    def _place(self, h, e) -> None:
+        """Find slots for entries."""
         slot = (h >> np.uint64(20)).astype(np.int64) & self.mask
         while len(e):
             free = self.slot[slot] < 0
@@ -542,7 +601,7 @@ class WordCache:
         s, e, first, buf = self._units(buf, off)
         raw, n = None, e - s
         if self.n + len(s) > self.most or self.n_ids > self.most_ids or self.long_bytes > self.most_ids:
-            self._clear()  # with this batch's words it might be too full
+            self._make_room(len(s))  # with this batch's words it might be too full
         # behind the words of each text a place for the end id
         n_docs = len(off) - 1
         place = np.arange(len(s)) + np.repeat(np.arange(n_docs), np.diff(first))
@@ -555,7 +614,7 @@ class WordCache:
             high = np.zeros(len(own), np.uint64)
             wide = np.flatnonzero(m > 8)
             high[wide] = view[own[wide] + 8] & KEEP[m[wide] - 8]
-            h = mix(mix(low ^ m.astype(np.uint64) << np.uint64(59)) ^ high)
+            h = _word_key(low, high, m)
             at = self._find(h, low, high, m)
             new = np.flatnonzero(at < 0)
             if len(new):

@@ -156,6 +156,34 @@ def test_word_cache():
                 assert counts.tolist() == list(map(len, want)) and ids.tolist() == want[0] + want[1]
 
 
+def test_full_word_cache_keeps_first_words():
+    """Words that came early are not encoded again when the cache is full, and ids stay right."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = token_coder.default_tokenizer()
+    tok, cache, encoded = Tokenizer.from_file(path), token_coder.WordCache(path, most=64, most_ids=4096), []
+    encode = cache._encode
+    cache._encode = lambda fresh: encoded.extend(fresh) or encode(fresh)
+    for i in range(60):
+        text = "the of and a2b é " + " ".join(f"w{i}x{j}" for j in range(7)) + " antidisestablishmentarianism"
+        ids, _ = cache.texts(*common.buffers(pa.array([text])), 2)
+        assert ids.tolist() == [*tok.encode(text, add_special_tokens=False).ids, 2]
+    assert cache.n <= 64 and Counter(encoded)["the"] == Counter(encoded)["é"] == 1
+
+
+def test_plain_words():
+    """Words of a-z skip the steps that leave them as they are; other tokenizers have no such way."""
+    from tokenizers import Tokenizer
+
+    path = token_coder.default_tokenizer()
+    rng = random.Random(3)
+    found = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(1, 40))) for _ in range(3000)]
+    full = Tokenizer.from_file(path).encode(" ".join(found), add_special_tokens=False).ids
+    assert token_coder._plain_tokenizer(path).encode(" ".join(found), add_special_tokens=False).ids == full
+    assert token_coder._plain_tokenizer(__import__("public_tokenizers").path("byte_bpe_50k.json")) is None
+
+
 def test_corpus_of_ids(spark, hard, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
