@@ -442,7 +442,7 @@ class WordCache:
     PROBE = "Ab cd,\tab  it's 1 2\nÉ<x> ab"
 
     def __init__(self, path: str, most: int = 1 << 20, most_ids: int = 1 << 22):
-        self.path, self.most, self.most_ids = path, most, most_ids
+        self.path, self.most, self.usual, self.most_ids = path, most, most, most_ids
         tokenizer = _tokenizer(path)
         ids = lambda *texts: [i for t in texts for i in tokenizer.encode(t, add_special_tokens=False).ids]
         self.by_word = ids(self.PROBE) == ids(*self.PROBE.split())
@@ -466,8 +466,10 @@ class WordCache:
         self.long_bytes = 0
 
     def _make_room(self, words_: int) -> None:
-        """Drop the later half, or all if so many words might not fit beside the rest."""
-        keep = min(self.most // 2, int(np.searchsorted(self.start[: self.n], self.most_ids // 2)))
+        """Drop the later half, or all if so many words might not fit beside the rest. One text may hold more than usual."""
+        self.most = max(self.usual, words_)
+        self.mask = (1 << (4 * self.most - 1).bit_length()) - 1
+        keep = min(self.usual // 2, int(np.searchsorted(self.start[: self.n], self.most_ids // 2)))
         if keep + words_ > self.most:
             keep = 0
         old, n, ids = [x[:keep].copy() for x in (self.low, self.high, self.bytes, self.start, self.size)], self.n, self.ids

@@ -172,6 +172,18 @@ def test_full_word_cache_keeps_first_words():
     assert cache.n <= 64 and Counter(encoded)["the"] == Counter(encoded)["é"] == 1
 
 
+def test_text_of_more_words_than_the_cache_holds():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = token_coder.default_tokenizer()
+    tok, cache = Tokenizer.from_file(path), token_coder.WordCache(path, most=64, most_ids=4096)
+    for n in (5, 100, 7, 300, 60, 40):
+        text = " ".join(f"w{n}q{i}" for i in range(n))
+        ids, _ = cache.texts(*common.buffers(pa.array([text])), 2)
+        assert ids.tolist() == [*tok.encode(text, add_special_tokens=False).ids, 2]
+
+
 def test_plain_words():
     """Words of a-z skip the steps that leave them as they are; other tokenizers have no such way."""
     from tokenizers import Tokenizer
