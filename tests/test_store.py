@@ -1,7 +1,12 @@
 from __future__ import annotations
 
+import os
+import sys
+
 import pytest
 
+sys.path.insert(0, os.path.dirname(__file__))
+
 from sparkquill.conf import SearchConf
 from sparkquill.errors import QuillError
 from sparkquill.operators import admin
@@ -128,3 +133,23 @@ def test_sql_highlights(spark):
     register_functions(spark)
     r = spark.sql("SELECT bm25_snippet('a fox ran', 'fox', 'simple') a, bm25_snippet_positions('foxes ran', 'fox*', 'simple') b, bm25_headline('a red fox', '\"red fox\"', 'english').matches[0].match_type c, bm25_snippet(null, 'x', 'simple') d, bm25_phrase_prefix('red f') e").first()
     assert r.a == "a <b>fox</b> ran" and [tuple(x) for x in r.b] == [(0, 5)] and r.c == "phrase" and r.d is None and r.e == '"red f*"'
+
+
+def test_formats_keep_odd_texts(spark, tmp_path):
+    """Control characters at either end, empty and null texts, a text like null's sign; what white space is, as in SQL."""
+    import oracle
+
+    from sparkquill.catalogue import ORACLE_SQL, QUERIES
+
+    odd = ["", None, " x ", "\x01", "\x0b", "x\x0b", "\x1f lead", "\x00", "a\x00b", "''", '"q"', "null", "#x", "a,b", "a\u0085b", "a\u2028b", "\ufeff", "N", "a\x0bb", "a.b", "\\"]
+    (tmp_path / "sf").mkdir()
+    spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/sf/documents.parquet")
+    for kind in ("csv", "tsv"):
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(odd) if t is None or not t.endswith("\\")], "id long, text string")
+        write(df, f"{tmp_path}/{kind}", kind)
+        assert sorted(map(tuple, read(spark, f"{tmp_path}/{kind}", kind, "id long, text string").collect())) == sorted(map(tuple, df.collect()))
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/sf/documents.parquet/*.parquet'")
+    oracle.compare(spark, con, f"{tmp_path}/sf", QUERIES["bm25_formats"], ORACLE_SQL["bm25_formats"])
