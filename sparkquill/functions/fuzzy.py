@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
@@ -42,6 +43,15 @@ def osa_prefix_distance(prefix: str, word: str, most: int) -> int | None:
     return min(near) if near and min(near) <= most else None
 
 
+def near(column: Column, word: str, most: int) -> Column:
+    """True for all strings within `most` edits of word, and few others: the built-in distance counts a swap as two."""
+    if most == 1:
+        swaps = {word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1)}
+        ok = F.levenshtein(column, F.lit(word), 1) >= 0
+        return ok | column.isin(sorted(swaps)) if swaps else ok
+    return F.levenshtein(column, F.lit(word), 2 * most) >= 0
+
+
 def weight(distance: int) -> float:
     """What a fuzzy match counts of an exact one."""
     return {0: 1.0, 1: 0.8, 2: 0.6}.get(distance, max(0.2, 1 - 0.2 * distance))

@@ -13,14 +13,15 @@ from .index import Index
 def summarize(index: Index) -> DataFrame:
     """One row (a row for each part): documents, terms, postings, lengths and settings."""
     by = index.part
-    postings = index.postings.groupBy(*by, "field_idx", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
-    sums = [F.count(F.lit(1)).alias("n_terms"), F.sum("df").alias("n_postings"), F.sum("tf").alias("n_tokens"), F.max("df").alias("max_df")]
-    terms = postings.groupBy(*by).agg(*sums) if by else postings.agg(*sums)
-    stats = index.stats_table.select(*by, "n_docs", "total_len", (F.col("total_len") / F.col("n_docs")).alias("avg_len"))
+    sums = [F.count(F.lit(1)).alias("n_terms"), F.sum("df").alias("n_postings"), F.max("df").alias("max_df")]
+    terms = index.terms.groupBy(*by).agg(*sums) if by else index.terms.agg(*sums)
+    # the tokens of the postings are the lengths' sum
+    stats = index.stats_table.select(*by, "n_docs", "total_len", (F.col("total_len") / F.col("n_docs")).alias("avg_len"), F.col("total_len").alias("n_tokens"))
     none = F.lit(0).cast("long")
     terms, stats = (df.withColumns({c: F.coalesce(c, none) for c in df.columns if c not in (*by, "avg_len")}) for df in (terms, stats))
     both = stats.join(terms, by) if by else stats.crossJoin(F.broadcast(terms))  # one row by one row
     s = index.spec
+    both = both.select(*by, "n_docs", "total_len", "avg_len", "n_terms", "n_postings", "n_tokens", "max_df")
     return both.withColumns({"k1": F.lit(s.k1), "b": F.lit(s.b), "text_config": F.lit(s.text_config), "fields": F.lit(",".join(s.names))})
 
 

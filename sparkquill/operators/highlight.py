@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,11 +35,11 @@ def highlight_plan(index: Index, query: str | BM25Query, field: str) -> h.Plan:
             continue
         if c.kind == g.TERM:
             for t in sorted({t for t, _ in analyze(spec.text_config, c.words[0])})[:1]:
-                exact |= {x for x, _ in expand_fuzzy(index.terms, i, t, query.fuzzy, spec.conf.max_fuzzy_expansions)} if query.fuzzy and len(t) >= spec.conf.min_fuzzy_term_len else {t}
+                exact |= {x for x, _ in expand_fuzzy(index.words, i, t, query.fuzzy, spec.conf.max_fuzzy_expansions)} if query.fuzzy and len(t) >= spec.conf.min_fuzzy_term_len else {t}
         elif c.kind == g.PREFIX:
             p = _ascii_lower(c.words[0])
             # the reported term is the first expansion; with several fields it is the prefix itself
-            names = tuple(expand_prefix(index.terms, i, p, spec.conf.max_prefix_expansions)) if len(spec.fields) == 1 else ()
+            names = tuple(expand_prefix(index.words, i, p, spec.conf.max_prefix_expansions)) if len(spec.fields) == 1 else ()
             prefixes.append((p, names))
         else:
             last = c.kind == g.PHRASE_PREFIX
@@ -77,12 +80,26 @@ def snippet_col(plan: h.Plan, text: Column, **options) -> Column:
     return run(text)
 
 
+def spans(found) -> pa.Array:
+    """POSITIONS of an iterable of lists of (start, end) or None: two numbers a span, whatever the size of a batch."""
+    flat, offsets, null = array("i"), [0], []
+    for own in found:
+        for a, z in own or ():
+            flat.append(a)
+            flat.append(z)
+        offsets.append(len(flat) // 2)
+        null.append(own is None)
+    ends = np.frombuffer(flat, np.int32).reshape(-1, 2) if flat else np.zeros((0, 2), np.int32)
+    cells = pa.StructArray.from_arrays([pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy())], ["start", "end"])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), cells, mask=pa.array(null, pa.bool_()))
+
+
 def positions_col(plan: h.Plan, text: Column, limit: int | None = None, offset: int = 0) -> Column:
     h.positions(plan, "", limit, offset)
 
-    @F.pandas_udf(POSITIONS)
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else [{"start": a, "end": z} for a, z in h.positions(plan, t, limit, offset)])
+    @F.arrow_udf(POSITIONS)
+    def run(texts: pa.Array) -> pa.Array:
+        return spans(h.positions(plan, t.as_py(), limit, offset) for t in texts)
 
     return run(text)
 

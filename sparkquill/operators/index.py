@@ -13,11 +13,12 @@ groups. Lengths are quantised in postings; averages use raw lengths.
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
-from functools import cached_property
+from functools import cached_property, reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
+from pyspark.sql.types import ArrayType, StructField, StructType, _parse_datatype_string
 
 from ..conf import SearchConf
 from ..errors import QuillError
@@ -143,18 +144,31 @@ class Index:
         self.spec, self.docs, self.postings, self.documents = spec, docs, postings, documents
         self.lengths = docs if lengths is None else lengths
         self.tokens = tokens
+        self.vectors = None  # (doc_id, field_idx, dlq, ps [, part]) of an index that is not stored: the postings of a text as one array
+        self.holding = None  # tokens of the rows whose texts hold one of some words
 
     @property
     def part(self) -> list[str]:
         return ["part"] if "part" in self.docs.columns else []
 
+    @property
+    def _words(self) -> Column:
+        return analysis.token_terms(self.spec.text_config, F.col("tokens"))
+
     @cached_property
     def terms(self) -> DataFrame:
         if self.tokens is not None:  # no positions are gathered
-            own = self.tokens.select(*self.part, "field_idx", F.explode_outer(F.array_distinct(F.transform("tokens", lambda t: t["term"]))).alias("term"))
+            own = self.tokens.select(*self.part, "field_idx", F.explode_outer(F.array_distinct(self._words)).alias("term"))
             return own.where("term is not null").groupBy(*self.part, "field_idx", "term").agg(F.count(F.lit(1)).alias("df"))
         return self.postings.groupBy(*self.part, "field_idx", "term").agg(F.count(F.lit(1)).alias("df"))
 
+    @property
+    def words(self) -> DataFrame:
+        """(field_idx, term) of the dictionary, with repeats: what a look-up filters before it takes distinct ones."""
+        if self.tokens is None:
+            return self.terms.select("field_idx", "term")
+        return self.tokens.select("field_idx", F.explode_outer(F.array_distinct(self._words)).alias("term")).where("term is not null")
+
     @cached_property
     def stats_table(self) -> DataFrame:
         """One row (a row for each part). A document counts once whatever fields it has."""
@@ -181,8 +195,9 @@ class Index:
             for f, ts in sorted(by_field.items()):
                 ok = ok | ((F.col("field_idx") == f) & F.col("term").isin(sorted(ts)))
             return self.stats, {(r["field_idx"], r["term"]): r["df"] for r in self.terms.where(ok).collect()}
-        has = lambda t: F.exists("tokens", lambda x: x["term"] == t)
-        own = self.tokens.select("doc_id", "field_idx", "dl", *[((F.col("field_idx") == f) & has(t)).cast("long").alias(f"t{k}") for k, (f, t) in enumerate(wanted)])
+        # the words that are asked for, once for each text
+        found = self.tokens.select("doc_id", "field_idx", "dl", F.array_intersect(self._words, F.array(*[F.lit(t) for t in sorted({t for _, t in wanted})])).alias("found"))
+        own = found.select("doc_id", "field_idx", "dl", *[((F.col("field_idx") == f) & F.array_contains("found", t)).cast("long").alias(f"t{k}") for k, (f, t) in enumerate(wanted)])
         n = len(self.spec.fields)
         sums = [F.sum(f"t{k}").alias(f"t{k}") for k in range(len(wanted))]
         totals = [F.sum(F.when(F.col("field_idx") == i, F.col("dl")).otherwise(0)).alias(f"f{i}") for i in range(n)]
@@ -197,10 +212,24 @@ class Index:
         """(field_idx, term, doc_id, tf, dlq [, part]) of the terms of keys (field_idx, term), which is small enough to broadcast."""
         if self.tokens is None:
             return self.postings.drop("positions")  # the join with the terms' weights comes anyway
-        own = self.tokens.select("doc_id", *self.part, "field_idx", "dlq", F.explode_outer(F.transform("tokens", lambda t: t["term"])).alias("term"))
+        own = self.tokens.select("doc_id", *self.part, "field_idx", "dlq", F.explode_outer(self._words).alias("term"))
         own = own.join(F.broadcast(keys), ["field_idx", "term"], "left_semi")
         return own.groupBy(*self.part, "field_idx", "term", "doc_id", "dlq").agg(F.count(F.lit(1)).alias("tf"))
 
+    def postings_where(self, ok: Column, words: list[str] | None = None, positions: bool = False) -> DataFrame:
+        """The postings that satisfy ok (on field_idx and term), with positions if they are asked for. words: texts without any of
+        them have no such posting, and are not analysed if the index is not stored."""
+        if self.tokens is None:
+            own = self.postings.where(ok)
+            return own if positions else own.drop("positions")
+        tokens = self.tokens if words is None or self.holding is None else self.holding(words)
+        by = [*self.part, "field_idx", "term", "doc_id", "dlq"]
+        own = tokens.select("doc_id", *self.part, "field_idx", "dlq", F.posexplode_outer("tokens").alias("i", "t"))
+        simple = self.spec.text_config == "simple"
+        own = own.select(*by[:-3], F.col("t" if simple else "t.term").alias("term"), "doc_id", "dlq", ((F.col("i") + 1) if simple else F.col("t.pos")).alias("pos")).where(ok)
+        tf = F.count(F.lit(1)).alias("tf")
+        return own.groupBy(*by).agg(tf, F.array_sort(F.collect_list("pos")).alias("positions")) if positions else own.groupBy(*by).agg(tf)
+
     def field(self, name: str) -> int:
         try:
             return self.spec.names.index(name)
@@ -211,7 +240,7 @@ class Index:
         """Cache the tables, as a warm-up; returns itself."""
         self.docs = self.lengths = self.docs.persist()
         self.postings.persist()
-        self.tokens = None
+        self.tokens = self.holding = self.vectors = None
         self.__dict__.pop("terms", None)
         return self
 
@@ -256,17 +285,34 @@ def spread(df: DataFrame, id_col: str) -> DataFrame:
 
 
 def build_index(df: DataFrame, spec: IndexSpec) -> Index:
-    """Analyse every row of df. Rows without a term are not counted as documents."""
-    own = analysed(spread(df, spec.id_col), spec)
+    """Analyse every row of df. Rows without a term are not counted as documents. An id stands in one row.
+
+    A document's postings are made where its text lies, without a shuffle."""
     part = ["part"] if spec.partition_by is not None else []
     dl = F.size("tokens").cast("long")
-    sized = own.select("doc_id", *part, "field_idx", dl.alias("dl"), quantised_length_col(dl).alias("dlq"), "tokens")
-    lengths = sized.drop("tokens")
-    # outer: an inner explode would be given a filter that analyses every text a second time
-    flat = sized.select("doc_id", *part, "field_idx", "dlq", F.explode_outer("tokens").alias("t")).select("doc_id", *part, "field_idx", "dlq", F.col("t.term").alias("term"), F.col("t.pos").alias("pos")).where("term is not null")
-    # a document's rows lie in one task, so the partial aggregate already holds its final postings
-    postings = flat.groupBy(*part, "field_idx", "term", "doc_id", "dlq").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-    return Index(spec, lengths.where("dl > 0"), postings, df, lengths, sized)
+
+    def sized(df: DataFrame) -> DataFrame:
+        return analysed(df, spec).select("doc_id", *part, "field_idx", dl.alias("dl"), quantised_length_col(dl).alias("dlq"), "tokens")
+
+    own = spread(df, spec.id_col)
+    tokens = sized(own)
+    lengths = tokens.drop("tokens")
+    own_tokens = tokens.drop("dl")
+    kinds = StructType([f for f in own_tokens.schema if f.name != "tokens"])
+    cells = own_tokens.mapInArrow(analysis.postings_of_rows, StructType([*kinds, StructField("ps", _parse_datatype_string(analysis.POSTINGS))]))
+    postings = own_tokens.mapInArrow(analysis.postings_rows, StructType([*kinds, *_parse_datatype_string(analysis.POSTING)]))
+    postings = postings.select(*part, "field_idx", "term", "doc_id", "dlq", "tf", "positions")
+    index = Index(spec, lengths.where("dl > 0"), postings, df, lengths, tokens)
+    index.vectors = cells
+    if spec.text_config == "simple" and all(spec.format(n) == "plain" for n in spec.names):
+        index.holding = lambda words: sized(own.where(_holds(own, spec, words)))
+    return index
+
+
+def _holds(df: DataFrame, spec: IndexSpec, words: list[str]) -> Column:
+    """Does a field's text hold one of the words as a string?"""
+    texts = [F.lower(text_of(df, spec, n)) for n in spec.names]
+    return F.coalesce(reduce(or_, [F.coalesce(t.contains(w), F.lit(False)) for t in texts for w in words]), F.lit(False))
 
 
 def build_inherited(parent: DataFrame, children: list[DataFrame], spec: IndexSpec) -> Index:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,18 +63,22 @@ def begins(column: str, prefix: str):
 
 
 def expand_prefix(terms: DataFrame, field_no: int, prefix: str, cap: int) -> list[str]:
-    rows = terms.where((F.col("field_idx") == field_no) & begins("term", prefix)).orderBy("term").limit(cap).select("term").collect()
+    rows = terms.where((F.col("field_idx") == field_no) & begins("term", prefix)).select("term").distinct().orderBy("term").limit(cap).collect()
     return [r[0] for r in rows]
 
 
 def expand_fuzzy(terms: DataFrame, field_no: int, word: str, distance: int, cap: int, prefix: bool = False) -> list[tuple[str, int]]:
-    """(term, distance), best first. A built-in edit distance, in which a swap counts two, narrows the candidates."""
-    own = terms.where(F.col("field_idx") == field_no).select("term").distinct()
+    """(term, distance), best first. A built-in edit distance narrows the candidates; those that are left go through Python once
+    each, however often they occur."""
+    size, n = F.length("term"), len(word)
     if not prefix:
-        own = own.where((F.abs(F.length("term") - len(word)) <= distance) & (F.levenshtein("term", F.lit(word), 2 * distance) >= 0))
+        ok = (F.abs(size - n) <= distance) & fz.near(F.col("term"), word, distance)
     else:
-        own = own.where(F.length("term") >= len(word) - distance)
-    own = own.withColumn("d", fz.distance_udf(word, distance, prefix)(F.col("term"))).where("d is not null")
+        near = [(size >= m) & fz.near(F.substring("term", 1, m), word, distance) for m in range(max(0, n - distance), n + distance + 1)]
+        ok = reduce(or_, near)
+    own = terms.where((F.col("field_idx") == field_no) & ok).select("term").distinct()
+    # not deterministic: else the filter moves below distinct, to every occurrence
+    own = own.withColumn("d", fz.distance_udf(word, distance, prefix).asNondeterministic()(F.col("term"))).where("d is not null")
     return [(r[0], r[1]) for r in own.orderBy("d", "term").limit(cap).collect()]
 
 

@@ -9,13 +9,14 @@ tables <name>_docs, <name>_postings, <name>_terms, <name>_stats and <name>_summa
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .errors import QuillError
 from .functions import analysis, fuzzy, highlighting, markup
 from .operators.admin import summarize
-from .operators.highlight import HEADLINE, POSITIONS, text_plan
+from .operators.highlight import HEADLINE, POSITIONS, spans, text_plan
 from .operators.index import Index
 from .plans.grammar import has_grammar
 from .plans.query import BM25Query, BM25Vector, bm25_phrase, bm25_phrase_prefix, bm25_prefix, to_bm25query
@@ -57,9 +58,10 @@ def register_functions(spark: SparkSession) -> list[str]:
     def snippet(text: pd.Series, query: pd.Series, config: pd.Series) -> pd.Series:
         return pd.Series([None if t is None or q is None else highlighting.snippet(text_plan(c, q), t) for t, q, c in zip(text, query, config, strict=True)])
 
-    @F.pandas_udf(POSITIONS)
-    def positions(text: pd.Series, query: pd.Series, config: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None or q is None else [{"start": a, "end": z} for a, z in highlighting.positions(text_plan(c, q), t)] for t, q, c in zip(text, query, config, strict=True)])
+    @F.arrow_udf(POSITIONS)
+    def positions(text: pa.Array, query: pa.Array, config: pa.Array) -> pa.Array:
+        rows = ((t.as_py(), q.as_py(), c.as_py()) for t, q, c in zip(text, query, config, strict=True))
+        return spans(None if t is None or q is None else highlighting.positions(text_plan(c, q), t) for t, q, c in rows)
 
     @F.pandas_udf(HEADLINE)
     def headline(text: pd.Series, query: pd.Series, config: pd.Series) -> pd.DataFrame:
@@ -100,13 +102,22 @@ def register_index(index: Index, name: str | None = None) -> str:
         raise QuillError(f"{name!r} is no SQL identifier")
     for part, df in (("docs", index.docs), ("postings", index.postings), ("terms", index.terms), ("stats", index.stats_table), ("summary", summarize(index))):
         df.createOrReplaceTempView(f"{name}_{part}")
+    if index.tokens is None:
+        index.postings.select("doc_id", "term", "tf", "dlq").createOrReplaceTempView(f"{name}_words")
+        tf = "sum(p.tf)"
+    else:  # a row for each word: the query's words are taken out before anything is added up
+        words = analysis.token_terms(index.spec.text_config, F.col("tokens"))
+        index.tokens.select("doc_id", "dlq", F.explode_outer(words).alias("term")).createOrReplaceTempView(f"{name}_words")
+        tf = "count(*)"
     if len(index.spec.fields) == 1 and index.spec.text_config == "simple" and not index.part:
         k1, b = index.spec.k1, index.spec.b
         index.docs.sparkSession.sql(f"""
 CREATE OR REPLACE TEMPORARY FUNCTION {name}_search(query STRING, k INT) RETURNS TABLE (doc_id BIGINT, score DOUBLE, rank INT) RETURN
 WITH q AS (SELECT term, count(*) AS qf FROM (SELECT explode(regexp_extract_all(lower({name}_search.query), '[\\\\p{{L}}\\\\p{{N}}_]+', 0)) AS term) GROUP BY term),
-w AS (SELECT q.term, q.qf * ln(1 + (s.n_docs - t.df + 0.5) / (t.df + 0.5)) AS w, s.total_len / s.n_docs AS average FROM q JOIN {name}_terms t ON t.term = q.term CROSS JOIN {name}_stats s),
-m AS (SELECT p.doc_id, -sum(w.w * p.tf * {k1 + 1} / (p.tf + {k1} * ({1 - b} + {b} * p.dlq / w.average))) AS score FROM {name}_postings p JOIN w ON w.term = p.term GROUP BY p.doc_id),
+p AS (SELECT /*+ BROADCAST(q) */ p.doc_id, p.term, p.dlq, {tf} AS tf FROM {name}_words p JOIN q ON q.term = p.term GROUP BY p.doc_id, p.term, p.dlq),
+t AS (SELECT p.term, count(*) AS df FROM p GROUP BY p.term),
+w AS (SELECT q.term, q.qf * ln(1 + (s.n_docs - t.df + 0.5) / (t.df + 0.5)) AS w, s.total_len / s.n_docs AS average FROM q JOIN t ON t.term = q.term CROSS JOIN {name}_stats s),
+m AS (SELECT /*+ BROADCAST(w) */ p.doc_id, round(-sum(w.w * p.tf * {k1 + 1} / (p.tf + {k1} * ({1 - b} + {b} * p.dlq / w.average))), 10) AS score FROM p JOIN w ON w.term = p.term GROUP BY p.doc_id),
 r AS (SELECT m.doc_id, m.score, row_number() OVER (ORDER BY m.score, m.doc_id) AS rank FROM m)
 SELECT r.doc_id, r.score, r.rank FROM r WHERE r.rank <= {name}_search.k""")
     return name
