@@ -21,15 +21,25 @@ def latest(df: DataFrame, id_col: str, order_col: str | None) -> DataFrame:
     return df.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
 
 
+def one_row_an_id(df: DataFrame, id_col: str, order_col: str | None) -> DataFrame:
+    """The same rows, but only the latest of an id that several rows have. Ids are counted without the texts, and rows whose id
+    is in no other row are not moved."""
+    again = df.groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("__id"))
+    if not again.limit(1).count():
+        return df
+    same = df[id_col].eqNullSafe(again["__id"])
+    return df.join(again, same, "left_anti").unionByName(latest(df.join(again, same, "left_semi"), id_col, order_col))
+
+
 def ingest(stream: DataFrame, store: IndexStore, checkpoint: str, order_col: str | None = None, **trigger) -> StreamingQuery:
     """Start indexing a stream of rows; trigger: as of writeStream.trigger (availableNow=True by default)."""
 
     def batch(df: DataFrame, number: int) -> None:
-        own = latest(df, store.spec.id_col, order_col).persist()
+        df = df.persist()
         try:
-            if own.limit(1).count():
-                store.append(own)
+            if df.limit(1).count():
+                store.append(one_row_an_id(df, store.spec.id_col, order_col))
         finally:
-            own.unpersist()
+            df.unpersist()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
