@@ -1,6 +1,6 @@
 """Saved indexes: immutable segments in levels, tombstones and a manifest.
 
-    root/segments/<id>/docs, root/segments/<id>/postings     parquet, postings sorted by (field_idx, term, doc_id)
+    root/segments/<id>/docs, root/segments/<id>/postings     parquet, each file of postings sorted by (field_idx, term, doc_id)
     root/tombstones/<id>                                     (doc_id, segments up to this number are meant)
     root/manifest/<version>                                  one JSON file; the largest version counts
 
@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 from ..errors import QuillError
 from ..operators.index import Index, IndexSpec, build_index
 
+#: Row groups of postings: small, so that a query's terms prune most of a file.
+BLOCK_BYTES = 4 << 20
+
 
 def working_root(spark: SparkSession) -> str:
     """A folder that driver and executors share: that of spark.checkpoint.dir; on one machine a temporary one, if it is unset."""
@@ -112,7 +115,8 @@ class IndexStore:
         base = f"{self.root}/segments/{name}"
         index.docs.write.parquet(f"{base}/docs")
         by = [*index.part, "field_idx", "term"]
-        index.postings.repartitionByRange(*by, "doc_id").sortWithinPartitions(*by, "doc_id").write.parquet(f"{base}/postings")
+        # each file is sorted by itself and has all terms of its documents: postings stay where their texts lie
+        index.postings.sortWithinPartitions(*by, "doc_id").write.option("parquet.block.size", BLOCK_BYTES).parquet(f"{base}/postings")
         return {"id": name, "number": number, "level": 0, "docs": self.spark.read.parquet(f"{base}/docs").select("doc_id").distinct().count()}
 
     def append(self, df: DataFrame) -> dict:
